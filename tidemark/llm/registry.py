@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": bpe.op1_bpe,
+        "op6_simhash": simhash.op6_simhash,
+        "op7_mixing": mixing.op7_mixing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
