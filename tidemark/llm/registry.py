@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, langid, mixing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op5_langid": langid.op5_langid,
         "op6_simhash": simhash.op6_simhash,
         "op7_mixing": mixing.op7_mixing,
+        "op9_quality": quality.op9_quality,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
