@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, quality, simhash
+from . import bpe, exact_dedup, html, langid, mixing, quality, simhash, substring, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_html": html.op2_html,
+        "op4_suffix": suffix.op4_suffix,
         "op5_langid": langid.op5_langid,
         "op6_simhash": simhash.op6_simhash,
         "op7_mixing": mixing.op7_mixing,
+        "op8_substring": substring.op8_substring,
         "op9_quality": quality.op9_quality,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
