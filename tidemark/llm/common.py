@@ -6,30 +6,28 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own is set only
-    where that is unset, as in tests on one machine.
+    A folder of our own is set only where that is unset, as in tests on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Tells rows apart that share an id: the id alone isn't trusted to be unique."""
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], list], schema: str, rows: int = 512) -> DataFrame:

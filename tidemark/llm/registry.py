@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html, langid, mixing, quality, simhash, substring, suffix
+from . import bpe, embedding, exact_dedup, html, langid, mixing, quality, simhash, substring, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_html": html.op2_html,
+        "op3_embedding": embedding.op3_embedding,
         "op4_suffix": suffix.op4_suffix,
         "op5_langid": langid.op5_langid,
         "op6_simhash": simhash.op6_simhash,
