@@ -1,0 +1,55 @@
+"""Answers about documents on their way from the shards that found them to the documents.
+
+A shard has something to say about most documents, so a row per document and shard would be shards times documents.
+Answers are packed by bucket of documents instead and unpacked where a bucket's answers meet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import sketch
+from .common import tidy
+
+SCHEMA = "bucket int, ids binary, keys binary, first binary, second binary"
+
+
+def packed(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket: documents by id and key, and two whole numbers about each."""
+    bucket = (sketch.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((first, keys, ids, bucket))
+    ids, keys, first, second, bucket = (x[order] for x in (ids, keys, first, second, bucket))
+    cut = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+    rows = [(int(bucket[p]), *(sketch.pack(x[p:q].astype(np.int64)) for x in (ids, keys, first, second))) for p, q in zip(cut[:-1], cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["bucket", "ids", "keys", "first", "second"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; one bucket's answers are held at a time."""
+    at, held = None, []
+
+    def done() -> pa.RecordBatch:
+        ids, keys, first, second = (np.concatenate([x[i] for x in held]) for i in range(4))
+        order = np.lexsort((first, keys, ids))
+        ids, keys, both = ids[order], keys[order], np.stack([first, second], axis=1)[order]
+        cut = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1, len(ids)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(keys[cut[:-1]]), pa.array([both[p:q].tobytes() for p, q in zip(cut[:-1], cut[1:])], pa.binary())], names=["id", "key", "pairs"])
+
+    for batch in batches:
+        for bucket, *columns in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if bucket != at and held:
+                yield done()
+                held = []
+            at = bucket
+            held.append(tuple(sketch.unpack(c, np.int64) for c in columns))
+    if held:
+        yield done()
+
+
+def gathered(df: DataFrame, parts: int) -> DataFrame:
+    """(id, key, pairs): all pairs of numbers about each document, packed as int64 and sorted."""
+    return df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_gather), "id long, key long, pairs binary")

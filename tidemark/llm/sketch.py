@@ -18,9 +18,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 ROWS, MAX_BITS, CHUNK = 2, 28, 20
 #: Hashes that a task gathers before it writes them out.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -109,7 +111,7 @@ def build(df: DataFrame, hashes: Callable[[list], np.ndarray], bits: int) -> np.
 
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = df.mapInArrow(run, "chunk int, once binary, again binary").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, "chunk int, twice binary")
+    merged = df.mapInArrow(tidy(run), "chunk int, once binary, again binary").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_merge), "chunk int, twice binary")
     out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     step = (1 << CHUNK) // 8
     for r in merged.toLocalIterator():  # a bit per cell, so bounded by MAX_BITS

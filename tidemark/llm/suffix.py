@@ -26,15 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch
-from .common import map_rows, table
+from . import replies, sketch
+from .common import map_rows, table, tidy
 
 _P = 0x9E3779B97F4A7C15
 #: Bytes of a text looked at a time; positions inside fit in the low 24 bits beside a hash.
 _SPAN = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes of runs that a task gathers before it writes them out, and windows that are sorted at a time.
-_FLUSH, _SORT = 1 << 23, 1 << 17
+_FLUSH, _SORT = 1 << 22, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -44,8 +44,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([one, np.cumprod(np.full(n, x, np.uint64))]) for x in (_P, inverse))
 
 
-def runs(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor's hash, first window and number of windows of each run of neighbouring windows with one anchor."""
+def runs(text: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of each run of neighbouring windows with one anchor: the anchor's hash, the first window, the number of
+    windows, and how far the anchor is from the first."""
     parts = []
     n, w = len(text), length - k + 1
     for base in range(0, max(n - length + 1, 0), _SPAN):
@@ -62,10 +63,10 @@ def runs(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
             low = np.minimum(low[: len(low) - (w - step)], low[w - step :])
         at = (low & _LOW).astype(np.int64)
         start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        parts.append((h[at[start]], start + base, np.diff(np.r_[start, len(at)])))
+        parts.append((h[at[start]], start + base, np.diff(np.r_[start, len(at)]), at[start] - start))
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
 def _nearest_smaller(pos: np.ndarray) -> np.ndarray:
@@ -109,8 +110,8 @@ def _emit(shared, length: int, k: int, shards: int):
         size = 0
 
         def write() -> pa.RecordBatch:
-            h, ids, keys, start, count = (np.concatenate([x[i] for x in held]) for i in range(5))
-            texts = [t for x in held for t in x[5]]
+            h, ids, keys, start, count, lead = (np.concatenate([x[i] for x in held]) for i in range(6))
+            texts = [t for x in held for t in x[6]]
             shard = (h % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -118,20 +119,20 @@ def _emit(shared, length: int, k: int, shards: int):
             for s in range(shards):
                 at = order[cut[s] : cut[s + 1]]
                 if len(at):
-                    rows.append((s, h[at].tobytes(), sketch.pack(ids[at]), sketch.pack(keys[at]), sketch.pack(start[at]), count[at].tobytes(), sketch.pack(np.frombuffer(b"".join([texts[i] for i in at.tolist()]), np.uint8))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names=["shard", "h", "ids", "keys", "start", "count", "text"])
+                    rows.append((s, h[at].tobytes(), sketch.pack(ids[at]), sketch.pack(keys[at]), sketch.pack(start[at]), count[at].tobytes(), lead[at].tobytes(), sketch.pack(np.frombuffer(b"".join([texts[i] for i in at.tolist()]), np.uint8))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8))], names=["shard", "h", "ids", "keys", "start", "count", "lead", "text"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 for i, key, text in zip(*(part.column(c).to_pylist() for c in range(3))):
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    h, start, count = runs(raw, length, k)
+                    h, start, count, lead = runs(raw, length, k)
                     keep = np.flatnonzero(sketch.maybe_repeated(shared.value, h)) if len(h) else ()
                     for j in range(0, len(keep), 1 << 14):
                         some = keep[j : j + (1 << 14)]
                         texts = [raw[a : a + c + length - 1] for a, c in zip(start[some].tolist(), count[some].tolist())]
-                        held.append((h[some], np.full(len(some), i, np.int64), np.full(len(some), key, np.int64), start[some], count[some].astype(np.uint8), texts))
+                        held.append((h[some], np.full(len(some), i, np.int64), np.full(len(some), key, np.int64), start[some], count[some].astype(np.uint8), lead[some].astype(np.uint8), texts))
                         size += sum(map(len, texts))
                         if size >= _FLUSH:
                             yield write()
@@ -144,16 +145,16 @@ def _emit(shared, length: int, k: int, shards: int):
 
 def _shard(parts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     """ids, keys, first window, number of windows of the runs in a shard that also start earlier."""
-    h, ids, keys, start, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    whole = b"".join(p[5] for p in parts)
+    h, ids, keys, start, count, lead = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    whole = b"".join(p[6] for p in parts)
     size = count.astype(np.int64) + length - 1
     at = np.cumsum(size) - size
     digest = np.array([xxhash.xxh3_64_intdigest(whole[a : a + s]) for a, s in zip(at.tolist(), size.tolist())], np.uint64)
     order = np.lexsort((keys, start, ids, h))
-    h, ids, keys, start, count, size, at, digest = (x[order] for x in (h, ids, keys, start, count, size, at, digest))
+    h, ids, keys, start, count, lead, size, at, digest = (x[order] for x in (h, ids, keys, start, count, lead, size, at, digest))
     # a row of the same id and text again is the same place
     place = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] != start[:-1])]
-    h, ids, keys, start, count, size, at, digest = (x[place] for x in (h, ids, keys, start, count, size, at, digest))
+    h, ids, keys, start, count, lead, size, at, digest = (x[place] for x in (h, ids, keys, start, count, lead, size, at, digest))
     # equal stretches: the earliest stands for all; bytes are compared, not just their digests
     order = np.lexsort((np.arange(len(h)), digest, h))
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (digest[order][1:] != digest[order][:-1])]
@@ -180,8 +181,15 @@ def _shard(parts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
         c = count[some].astype(np.int64)
         who = np.repeat(np.arange(len(some)), c)
         nth = np.arange(len(who)) - np.repeat(np.cumsum(c) - c, c)
-        rows = np.lib.stride_tricks.sliding_window_view(text, length)[at[some][who] + nth]
-        gone = np.flatnonzero(previous_factors(rows) >= length)
+        view = np.lib.stride_tricks.sliding_window_view(text, length)
+        place = at[some][who] + nth
+        if len(who) <= 2 * _SORT:
+            gone = np.flatnonzero(previous_factors(view[place]) >= length)
+        else:
+            # one very common anchor: equal windows have it at the same distance, so distances are looked at apart
+            far = lead[some][who].astype(np.int64) - nth
+            parts_ = [np.flatnonzero(far == d) for d in np.unique(far).tolist()]
+            gone = np.sort(np.concatenate([p[previous_factors(view[place[p]]) >= length] for p in parts_]))
         if len(gone):
             cut = np.r_[True, (who[gone][1:] != who[gone][:-1]) | (np.diff(gone) != 1)]
             head = gone[cut]
@@ -192,31 +200,20 @@ def _shard(parts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
-def _factor(length: int):
+def _factor(length: int, buckets: int):
     """Rows come sorted by shard; a shard is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            ids, keys, start, n = _shard(held, length)
-            order = np.lexsort((start, keys, ids))
-            ids, keys, start, n = ids[order], keys[order], start[order], n[order]
-            cut = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1, len(ids)] if len(ids) else np.zeros(1, np.int64)
-            spans = np.stack([start, n], axis=1)
-            for lo in range(0, len(cut) - 1, 1 << 14):
-                some = list(zip(cut[lo : lo + (1 << 14)].tolist(), cut[lo + 1 : lo + 1 + (1 << 14)].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[[p for p, _ in some]]), pa.array(keys[[p for p, _ in some]]), pa.array([spans[p:q].tobytes() for p, q in some], pa.binary())], names=["id", "key", "spans"])
-
         for batch in batches:
-            for shard, h, ids, keys, start, count, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for shard, h, ids, keys, start, count, lead, text in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if shard != at and held:
-                    yield from done()
+                    yield replies.packed(*_shard(held, length), buckets)
                     held = []
                 at = shard
-                held.append((np.frombuffer(h, np.uint64), sketch.unpack(ids, np.int64), sketch.unpack(keys, np.int64), sketch.unpack(start, np.int64), np.frombuffer(count, np.uint8), sketch.unpack(text, np.uint8).tobytes()))
+                held.append((np.frombuffer(h, np.uint64), sketch.unpack(ids, np.int64), sketch.unpack(keys, np.int64), sketch.unpack(start, np.int64), np.frombuffer(count, np.uint8), np.frombuffer(lead, np.uint8), sketch.unpack(text, np.uint8).tobytes()))
         if held:
-            yield from done()
+            yield replies.packed(*_shard(held, length), buckets)
 
     return run
 
@@ -230,7 +227,7 @@ class _Hashes:
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, anchor: int = 40) -> DataFrame:
-    """(id, key, spans): spans lists packed pairs of int64, the first window and how many, that also start earlier.
+    """(id, key, pairs): pairs of int64, packed, the first window and how many, that also start earlier.
 
     key is the text's hash, which tells rows apart that share an id.
     """
@@ -240,22 +237,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = 2 * size / (length - anchor + 2)
-    shards = max(parts, int(size // 16_000_000))
+    shards, buckets = max(parts, int(size // 16_000_000)), max(parts, int(size // 3_000_000))
     shared = spark.sparkContext.broadcast(sketch.build(df.select(text_col), _Hashes(length, anchor), sketch.bits_for(anchors)))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
-    found = rows.mapInArrow(_emit(shared, length, anchor, shards), "shard int, h binary, ids binary, keys binary, start binary, count binary, text binary")
-    gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_factor(length), "id long, key long, spans binary")
-    # a document's lists, one per shard at most, meet here: as long together as its own windows
-    return gone.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
+    found = rows.mapInArrow(tidy(_emit(shared, length, anchor, shards)), "shard int, h binary, ids binary, keys binary, start binary, count binary, lead binary, text binary")
+    gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_factor(length, buckets)), replies.SCHEMA)
+    return replies.gathered(gone, parts)
 
 
-def removed(spans: list[bytes] | None, size: int, length: int) -> np.ndarray:
+def removed(pairs: bytes, size: int, length: int) -> np.ndarray:
     """Which of `size` bytes are removed."""
     edge = np.zeros(size + 1, np.int64)
-    for s in spans or ():
-        pairs = np.frombuffer(s, np.int64).reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 0] + pairs[:, 1] - 1 + length, -1)
+    start, n = np.frombuffer(pairs, np.int64).reshape(-1, 2).T
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n - 1 + length, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -263,19 +258,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every document."""
     gone = repeated_spans(df, id_col, text_col, length, anchor)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.coalesce("__text", F.lit(""))))
-    both = rows.join(gone, (F.col("__id").cast("long") == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "spans")
+    both = rows.join(gone, (F.col("__id").cast("long") == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "pairs")
 
     def run(cols: dict) -> list:
         size, off, n, kept = [], [], [], []
-        for text, spans in zip(cols["text"], cols["spans"]):
+        for text, pairs in zip(cols["text"], cols["pairs"]):
             raw = (text or "").encode("utf-8", "surrogatepass")
             size.append(len(raw))
-            if not spans:
+            if not pairs:
                 off.append(0)
                 n.append(0)
                 kept.append(raw)
                 continue
-            gone = removed(spans, len(raw), length)
+            gone = removed(pairs, len(raw), length)
             off.append(int(gone.sum()))
             n.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
             kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
