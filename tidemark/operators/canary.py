@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -71,28 +73,32 @@ def tfidf(train: DataFrame, *others: DataFrame, text: str = "text") -> list[Data
 
 def logreg_cv(train: DataFrame, label: str = "label", features: str = "features", key: str = "id", grid: tuple[float, ...] = C_GRID, folds: int = FOLDS):
     """Logistic regression with the inverse penalty of the best mean AUC over folds, refitted on all rows."""
-    rows = train.withColumn("__fold", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))).cache()
-    n = rows.count()
+    # a job per step of the fit: few partitions for few rows
+    parts = max(1, train.count() // 5000)
+    rows = train.select(key, label, features, F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)).alias("__fold")).coalesce(parts).cache()
+    sizes = {(r["__fold"], r[label]): r["n"] for r in rows.groupBy("__fold", label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = sum(sizes.values())
+    score = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", numBins=0)
 
     def fit(part: DataFrame, size: int, c: float):
-        return LogisticRegression(labelCol=label, featuresCol=features, regParam=1 / (c * max(size, 1)), standardization=False, maxIter=1000).fit(part)
-
-    best = (-1.0, grid[0])
-    for c in grid:
-        scores = []
-        for k in range(folds):
-            part = rows.where(F.col("__fold") != k)
-            if part.select(label).distinct().count() < 2:
-                continue
-            got = fit(part, part.count(), c).transform(rows.where(F.col("__fold") == k)).withColumn("__p", vector_to_array("probability")[1])
-            auc = rank_auc(got, label, "__p").first()
-            if auc and auc["auc"] is not None:
-                scores.append(auc["auc"])
-        if scores and sum(scores) / len(scores) > best[0]:
-            best = (sum(scores) / len(scores), c)
-    model = fit(rows, n, best[1])
+        return LogisticRegression(labelCol=label, featuresCol=features, regParam=1 / (c * max(size, 1)), standardization=False, maxIter=1000, tol=1e-4).fit(part)
+
+    def auc(job: tuple[float, int]) -> float | None:
+        c, k = job
+        inside, outside = ({y for f, y in sizes if (f == k) == own} for own in (False, True))
+        if len(inside) < 2 or len(outside) < 2:
+            return None
+        size = sum(n for (f, _), n in sizes.items() if f != k)
+        return score.evaluate(fit(rows.where(F.col("__fold") != k), size, c).transform(rows.where(F.col("__fold") == k)))
+
+    jobs = [(c, k) for c in grid for k in range(folds)]
+    with ThreadPoolExecutor(4) as pool:
+        found = list(zip(jobs, pool.map(auc, jobs)))
+    mean = {c: [a for (x, _), a in found if x == c and a is not None] for c in grid}
+    best = max(grid, key=lambda c: (sum(mean[c]) / len(mean[c]) if mean[c] else -1.0, -c))
+    model = fit(rows, whole, best)
     rows.unpersist()
-    return model, best[1]
+    return model, best
 
 
 def holdout_auc(events: DataFrame, target: str, text: str, ts: str, key: str) -> float | None:
@@ -102,6 +108,7 @@ def holdout_auc(events: DataFrame, target: str, text: str, ts: str, key: str) ->
     if sum(sides.values()) < 12 or len(sides) < 4:
         rows.unpersist()
         return None
+    # features are used by every fold: kept once they are made
     train, test = tfidf(rows.where("part = 'train'"), rows.where("part = 'test'"), text=text)
     model, _ = logreg_cv(train, key=key)
     out = rank_auc(model.transform(test).withColumn("__p", vector_to_array("probability")[1]), "label", "__p").first()["auc"]

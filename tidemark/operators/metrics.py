@@ -165,7 +165,7 @@ def spearman_ic(df: DataFrame, by: list[str] | None = None, with_p: bool = False
     rows = df.select(*by, score.alias("s"), clean(F.col("car_0_1").cast("double")).alias("c")).where("s IS NOT NULL AND c IS NOT NULL")
     ranked = with_rank(with_rank(rows, "s", "rs", by), "c", "rc", by)
     flat = (F.stddev_pop("s") < 1e-12) | (F.stddev_pop("c") < 1e-12)
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), flat.alias("flat"), F.corr("rs", "rc").alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), flat.alias("flat"), F.try_divide(F.covar_pop("rs", "rc"), F.stddev_pop("rs") * F.stddev_pop("rc")).alias("rho"))
     few = F.col("n") < 5
     out = out.select(
         *by, "n", F.when(~few & ~F.col("flat"), clean(F.col("rho"))).alias("spearman_rho"), F.when(~few & F.col("flat"), F.lit("constant input")).alias("note"), F.when(~few, F.lit(probs)).alias("score_uses_probs")
