@@ -69,7 +69,7 @@ def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def mix(
     df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5,
-    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 50_000, max_sources: int = 10_000,
+    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000,
 ) -> DataFrame:
     """One row per row of df: id, source, rank (in its source, from 1), block, slot, release, deadline, in_horizon.
 
@@ -88,9 +88,11 @@ def mix(
     at = {(s, j): slot for s, j, slot, _, _ in slots_of}
     # the first slot at which some source has no block left
     last = min(((blocks[s] // share[s]) * size + at[s, blocks[s] % share[s] + 1] for s in share), default=0)
-    buckets = max(1, -(-max(counts.values(), default=0) // bucket_rows))
+    quota = _literal(spark, [(s, share[s], max(1, -(-n // bucket_rows))) for s, n in counts.items()], "s1 string, quota long, buckets long")
     key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
-    rows = rows.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * buckets / F.lit(16**7)).cast("int"))
+    rows = rows.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("s1"))).withColumn("key", key)
+    # the key's share of its range, in as many buckets as the source's rows need
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * F.col("buckets") / F.lit(16**7)))
     sizes = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -98,8 +100,6 @@ def mix(
     ranked = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("rank", F.col("offset") + F.col("place"))
     plan = _literal(spark, slots_of, "s2 string, j long, at long, rel long, due long")
     placed = ranked.withColumn("block", F.expr(f"(rank - 1) div {block} + 1"))
-    quota = _literal(spark, list(share.items()), "s1 string, quota long")
-    placed = placed.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("s1")))
     placed = placed.withColumn("frame", F.expr("(block - 1) div quota")).withColumn("nth", F.expr("(block - 1) % quota + 1"))
     placed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s2")) & (F.col("nth") == F.col("j")))
     base = F.col("frame") * size
