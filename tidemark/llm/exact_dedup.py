@@ -32,7 +32,7 @@ def _sha(text: Column) -> Column:
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = _sha) -> DataFrame:
-    """One row per input row: id, keep_id (largest id of the equal texts), group_size, kept, digest."""
+    """One row per input row: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256 (the digest)."""
     local = (
         df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .select(F.unhex(digest(F.col("text"))).alias("digest"), "text", F.spark_partition_id().alias("salt"), "id")

@@ -153,10 +153,12 @@ def train(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 24, depth: int =
         v = _holds(r, x)
         if 0 < v.sum() < len(y):
             kept.setdefault(v.tobytes(), (r, v))
+    if not kept:
+        return Ensemble(float(np.log(y.mean() / (1 - y.mean()))), [])
     m = np.stack([v for _, v in kept.values()], axis=1).astype(np.float64)
     mean, scale = m.mean(axis=0), m.std(axis=0)
     m = (m - mean) / scale
-    w, b, t = np.zeros(m.shape[1]), f.mean() * 0, 1.0
+    w, b, t = np.zeros(m.shape[1]), 0.0, 1.0
     z, zb = w.copy(), b
     rate = 4.0 / (np.linalg.norm(m, 2) ** 2 / len(y) + 1)
     for _ in range(rounds):  # accelerated proximal gradient steps on the L1-penalised logistic loss
