@@ -13,7 +13,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-PX = """px AS (SELECT c_mktsegment AS ticker, CAST(l_shipdate AS DATE) AS d, round(avg(l_extendedprice / l_quantity), 6) AS px FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+PX = """px AS (SELECT c_mktsegment AS ticker, CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(floor(l_extendedprice / l_quantity * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000.0::DOUBLE AS px, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
  WHERE isodow(l_shipdate) < 6 GROUP BY ALL)"""
 
 

@@ -111,7 +111,7 @@ SELECT CAST(y AS VARCHAR) AS file, CAST(d AS DATE) AS date, round((v % 700) / 10
 FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, dayofyear(o_orderdate) * 13 AS v FROM orders)""")
 def sectioned_csv_scan(spark, sf):
     days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("file", F.year("d").cast("string")).withColumn("v", F.dayofyear("d") * 13)
-    pct = lambda n: F.format_number((F.col("v") % n) / F.lit(100.0), "0.00")
+    pct = lambda n: F.format_string("%.2f", (F.col("v") % n) / F.lit(100.0))
     body = days.select("file", F.concat(F.date_format("d", "yyyyMMdd"), F.lit(",  "), pct(700), F.lit(","), pct(300)).alias("line"))
     body = body.groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("l"))
     pre, post = F.array(F.lit("A preamble, of words"), F.lit(""), F.lit(",Mkt,RF")), F.array(F.lit(""), F.lit(" Annual Factors"), F.lit("19260701,  9.99,9.99"), F.lit("1927,  1,1"))
@@ -217,12 +217,12 @@ def entry_session_asof(spark, sf):
 
 
 @query(f"""WITH {O.PX}, s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d) AS seq FROM px)
-SELECT ticker, d AS trade_date, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(px) OVER w, 4) AS total FROM s WINDOW w AS (PARTITION BY ticker ORDER BY seq RANGE BETWEEN 30 PRECEDING AND 6 PRECEDING)""")
+SELECT ticker, d AS trade_date, CAST(count(*) OVER w AS BIGINT) AS n, CAST(sum(volume) OVER w AS BIGINT) AS total FROM s WINDOW w AS (PARTITION BY ticker ORDER BY seq RANGE BETWEEN 30 PRECEDING AND 6 PRECEDING)""")
 def offset_window_join(spark, sf):
     p = proxy.prices(spark, sf)
     rows = p.join(calendar.ordinals(p.select("ticker", "trade_date"), by=["ticker"]), ["ticker", "trade_date"])
     w = calendar.offset_window("seq", -30, -5, ["ticker"])
-    return rows.select("ticker", "trade_date", F.count(F.lit(1)).over(w).alias("n"), F.round(F.sum("close").over(w), 4).alias("total"))
+    return rows.select("ticker", "trade_date", F.count(F.lit(1)).over(w).alias("n"), F.sum("volume").over(w).alias("total"))
 
 
 @query(f"""WITH {O.PX} SELECT ticker, d AS trade_date, lead(d, 10) OVER w AS exit_day, lead(px, 10) OVER w AS exit_price FROM px WINDOW w AS (PARTITION BY ticker ORDER BY d)""")
@@ -242,10 +242,10 @@ def item_describe(spark, sf):
     return proxy.events(spark, sf).select("event_id", features.described_items(F.col("items"), dims.ITEM_NAMES).alias("described"))
 
 
-@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1)
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
 SELECT CAST(g.day AS DATE) AS day, round(coalesce(v, 0), 2) AS v FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON d.day = CAST(g.day AS DATE) WHERE isodow(g.day) < 6""")
 def calendar_densify(spark, sf):
-    daily = table(spark, sf, "orders").where("o_orderkey % 7 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
+    daily = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
     return calendar.densify(daily, "day", {"v": 0.0}).select("day", r6("v", 2))
 
 

@@ -24,7 +24,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
     """ticker, trade_date, open, high, low, close, volume, ret."""
-    px = F.round(F.avg("px"), 6)
+    # whole numbers add up to the same in any order
+    px = F.sum(F.floor(F.col("px") * 10000)) / F.count(F.lit(1)) / 10000.0
     daily = lines(spark, sf).groupBy("ticker", "trade_date").agg(px.alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), px.alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
     return simple_return(daily)
 
