@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, release, table, tidy
 
 _OTHER = re.compile(r"[\W\d_]+")
 BITS, ORDERS = 16, (1, 2, 3)
@@ -48,6 +48,10 @@ def presence(text: str | None) -> np.ndarray | None:
     return out
 
 
+def has_letters(text: str | None) -> bool:
+    return bool(_OTHER.sub("", text or ""))
+
+
 def _scaled(present: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """Presence at the given bins, so that a product of two of these is the kernel."""
     size = np.maximum(present.sum(axis=1), 1)
@@ -74,15 +78,19 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], landmarks: int = 48, ridge: float = 1e-3) -> Model:
-    """rows: (text, language). landmarks: of each language."""
-    rows = [(p, lang) for text, lang in rows if (p := presence(text)) is not None]
+    """rows: (text, language). landmarks: of each language.
+
+    Presence of a text is made when it is used: kept for all rows it would be the driver's largest array.
+    """
+    rows = [(text, lang) for text, lang in rows if has_letters(text)]
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    marks = [p for lang in langs for p in [p for p, x in rows if x == lang][:landmarks]]
-    bins = np.flatnonzero(np.any(marks, axis=0).reshape(-1))
+    marks = [presence(t) for lang in langs for t in [t for t, x in rows if x == lang][:landmarks]]
+    bins = np.flatnonzero(np.logical_or.reduce(marks).reshape(-1))
     base = np.stack([_scaled(p, bins) for p in marks])
-    kernel = np.concatenate([np.stack([_scaled(p, bins) for p, _ in rows[i : i + 128]]) @ base.T for i in range(0, len(rows), 128)]).astype(np.float64)
+    del marks
+    kernel = np.concatenate([np.stack([_scaled(presence(t), bins) for t, _ in rows[i : i + 64]]) @ base.T for i in range(0, len(rows), 64)]).astype(np.float64)
     value, vector = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # kernel of landmarks to the power -1/2
@@ -113,7 +121,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
     sample = rows.where(draw < share).limit(2 * per_lang * len(counts)).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["id"] is None, r["id"]))])
+    model = train([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["id"] is None, r["id"]))])
+    release()
+    return model
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +148,7 @@ def keep_languages(df: DataFrame, model: Model, text_col: str = "text", langs: s
                 found, score = shared.value.score(some.column(at).to_pylist())
                 yield some.filter(pa.array([x != "und" and s >= min_score and (langs is None or x in langs) for x, s in zip(found, score)], pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
