@@ -79,11 +79,16 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__i")).drop("__b", "__i", "__before")
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     want = counts.crossJoin(F.broadcast(counts.agg(F.max("__n").alias("__top")))).where("__top > __n")
-    draws = want.select(label, "__n", F.explode(F.sequence(F.lit(1), (F.col("__top") - F.col("__n")).cast("int"))).alias("draw"))
+    # draws are numbered in steps, so that many tasks make them
+    step = 100_000
+    lack = F.col("__top") - F.col("__n")
+    steps = want.select(label, "__n", lack.alias("__lack"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((lack - 1) / step))).alias("__step")).repartition(label, "__step")
+    first = F.col("__step") * step
+    draws = steps.select(label, "__n", F.explode(F.sequence(first + 1, F.least(first + step, F.col("__lack")))).alias("draw"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(label), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
     draws = draws.withColumn("__rank", F.pmod(pick, F.col("__n"))).drop("__n")
     drawn = draws.join(ranked, [label, "__rank"]).select(*df.columns, "draw")
-    return df.withColumn("draw", F.lit(0)).unionByName(drawn)
+    return df.withColumn("draw", F.lit(0).cast("bigint")).unionByName(drawn)
 
 
 def time_holdout(df: DataFrame, ts: str, key: str, fraction: float = 0.7) -> DataFrame:
