@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
 
-__all__ = ["checkpoint", "importable", "map_rows", "release", "shared_folder", "table", "tidy"]
+__all__ = ["checkpoint", "importable", "map_rows", "partitions", "release", "shared_folder", "table", "tidy"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +30,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions(spark: SparkSession, size: int, each: int = 2_000_000) -> int:
+    """As many partitions as the session asks for, but no more than `size` units in parts of `each` need."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
+
+
 def release() -> None:
     """Gives memory that arrays have left back to the system; allocators keep it else, and workers live on."""
     import ctypes

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import tidy
+from .common import partitions, tidy
 
 ROWS, MAX_BITS, CHUNK = 2, 28, 20
 #: Hashes that a task gathers before it writes them out.
@@ -109,8 +109,7 @@ def build(df: DataFrame, hashes: Callable[[list], np.ndarray], bits: int) -> np.
         if size:
             yield write()
 
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(df.sparkSession, ROWS << bits, 1 << CHUNK)
     merged = df.mapInArrow(tidy(run), "chunk int, once binary, again binary").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_merge), "chunk int, twice binary")
     out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     step = (1 << CHUNK) // 8

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch
-from .common import map_rows, table
+from . import replies, sketch
+from .common import map_rows, partitions, table, tidy
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -105,13 +105,7 @@ def _group(buckets: int):
             new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
             first = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
             gone = ids > first
-            ids, keys, start = ids[gone], keys[gone], start[gone]
-            bucket = (sketch.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((start, keys, ids, bucket))
-            ids, keys, start, bucket = ids[order], keys[order], start[order], bucket[order]
-            cut = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-            rows = [(int(bucket[p]), sketch.pack(ids[p:q]), sketch.pack(keys[p:q]), sketch.pack(start[p:q])) for p, q in zip(cut[:-1], cut[1:])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "ids", "keys", "starts"])
+            return replies.packed(ids[gone], keys[gone], start[gone], np.ones(int(gone.sum()), np.int64), buckets)
 
         for batch in batches:
             for shard, a, b, who, start, ids, keys in zip(*(batch.column(i).to_pylist() for i in range(7))):
@@ -119,7 +113,7 @@ def _group(buckets: int):
                     yield done()
                     held = []
                 at = shard
-                mine = unpack_who(who)
+                mine = sketch.unpack(who, np.uint32)
                 held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), sketch.unpack(ids, np.int64)[mine], np.frombuffer(keys, np.int64)[mine], sketch.unpack(start, np.uint32)))
         if held:
             yield done()
@@ -127,47 +121,21 @@ def _group(buckets: int):
     return run
 
 
-def unpack_who(b: bytes) -> np.ndarray:
-    return sketch.unpack(b, np.uint32)
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket. One row per document: the starts of its windows to remove."""
-    at, held = None, []
-
-    def done() -> pa.RecordBatch:
-        ids, keys, start = (np.concatenate([x[i] for x in held]) for i in range(3))
-        order = np.lexsort((start, keys, ids))
-        ids, keys, start = ids[order], keys[order], start[order]
-        cut = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1, len(ids)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(keys[cut[:-1]]), pa.array([start[p:q].tobytes() for p, q in zip(cut[:-1], cut[1:])], pa.binary())], names=["id", "key", "starts"])
-
-    for batch in batches:
-        for bucket, ids, keys, starts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if bucket != at and held:
-                yield done()
-                held = []
-            at = bucket
-            held.append((sketch.unpack(ids, np.int64), sketch.unpack(keys, np.int64), sketch.unpack(starts, np.uint32)))
-    if held:
-        yield done()
-
-
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
-    """(id, key, starts): starts holds the first words, as uint32, of the windows that a smaller id has too.
+    """(id, key, pairs): pairs of int64, packed, the first word and 1 for each window that a smaller id has too.
 
     key is the text's hash, which tells rows apart that share an id.
     """
     spark = df.sparkSession
     size = df.agg(F.sum(F.length(text_col))).first()[0] or 0
     words = size / 5
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(spark, size)
     shards, buckets = max(parts, int(words // 1_500_000)), max(parts, int(words // 500_000))
     shared = spark.sparkContext.broadcast(sketch.build(df.select(text_col), _Hashes(width), sketch.bits_for(words)))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
-    found = rows.mapInArrow(_emit(shared, width, shards), "shard int, a binary, b binary, who binary, start binary, ids binary, keys binary")
-    gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_group(buckets), "bucket int, ids binary, keys binary, starts binary")
-    return gone.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "id long, key long, starts binary")
+    found = rows.mapInArrow(tidy(_emit(shared, width, shards)), "shard int, a binary, b binary, who binary, start binary, ids binary, keys binary")
+    gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_group(buckets)), replies.SCHEMA)
+    return replies.gathered(gone, parts)
 
 
 class _Hashes:
@@ -178,13 +146,13 @@ class _Hashes:
         return np.concatenate([windows(words_of(t), self.width)[0] for t in texts] or [np.zeros(0, np.uint64)])
 
 
-def covered(starts: bytes | None, size: int, width: int) -> np.ndarray:
+def covered(pairs: bytes | None, size: int, width: int) -> np.ndarray:
     """Which of `size` places are covered by windows at the given starts."""
     edge = np.zeros(size + 1, np.int64)
-    if starts:
-        s = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
-        edge[s] += 1
-        edge[s + width] -= 1
+    if pairs:
+        start = np.unique(np.frombuffer(pairs, np.int64).reshape(-1, 2)[:, 0])
+        edge[start] += 1
+        edge[start + width] -= 1
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -192,16 +160,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_words, n_removed, kept (the words that stay, joined by a space; bytes of UTF-8) of every document."""
     gone = repeated_windows(df, id_col, text_col, width)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.coalesce("__text", F.lit(""))))
-    both = rows.join(gone, (F.col("__id").cast("long") == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "starts")
+    both = rows.join(gone, (F.col("__id").cast("long") == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "pairs")
 
     def run(cols: dict) -> list:
         size, removed, kept = [], [], []
-        for text, starts in zip(cols["text"], cols["starts"]):
+        for text, pairs in zip(cols["text"], cols["pairs"]):
             words = words_of(text)
-            off = covered(starts, len(words), width)
+            off = covered(pairs, len(words), width)
             size.append(len(words))
             removed.append(int(off.sum()))
-            kept.append(b" ".join([w for w, x in zip(words, off.tolist()) if not x] if starts else words))
+            kept.append(b" ".join([w for w, x in zip(words, off.tolist()) if not x] if pairs else words))
         return [cols["id"], size, removed, kept]
 
     return map_rows(both, run, f"`{id_col}` {dict(both.dtypes)['id']}, n_words long, n_removed long, kept binary")

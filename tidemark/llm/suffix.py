@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import replies, sketch
-from .common import map_rows, table, tidy
+from .common import map_rows, partitions, table, tidy
 
 _P = 0x9E3779B97F4A7C15
 #: Bytes of a text looked at a time; positions inside fit in the low 24 bits beside a hash.
@@ -235,7 +235,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("the anchor must fit in the length, and a run's windows in a byte")
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(spark, size)
     anchors = 2 * size / (length - anchor + 2)
     shards, buckets = max(parts, int(size // 16_000_000)), max(parts, int(size // 3_000_000))
     shared = spark.sparkContext.broadcast(sketch.build(df.select(text_col), _Hashes(length, anchor), sketch.bits_for(anchors)))
