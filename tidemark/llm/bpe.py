@@ -28,8 +28,8 @@ from .common import map_rows, table
 
 #: Fixed: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers.
-MEMO = 200_000
+#: Pieces that a worker remembers in each of two generations.
+MEMO = 300_000
 _NONE = np.int64(1) << 60
 
 
@@ -69,7 +69,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.memo: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
-        self.keep = set(self.special)
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where it can't merge; -1 stands for no token."""
@@ -148,9 +148,12 @@ class Bpe:
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.split(t or "") for t in texts]
         if len(self.memo) > MEMO:
-            self.memo = {s: self.memo[s] for s in self.keep}
-        memo = self.memo
-        self.learn({p for c in cut for p in c}.difference(memo))
+            # pieces in use are carried over from the generation before; the rest goes with the next one
+            self.memo, self.older = {s: (i,) for s, i in self.special.items()}, self.memo
+        memo, older = self.memo, self.older
+        missing = {p for c in cut for p in c}.difference(memo)
+        memo.update((p, older[p]) for p in missing.intersection(older))
+        self.learn(missing.difference(older))
         return [[i for p in c for i in memo[p]] for c in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
