@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, partitions, table, tidy
 from .graph import connected_components
 
 _TILE = 1024
@@ -185,7 +185,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     good = rows.where(fine).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float") if "float" in dict(rows.dtypes)["v"] else F.when(x == 0, F.lit(0.0)).otherwise(x)))
     named = checkpoint(good.select("id", "label", "v", F.xxhash64("label", "v").alias("h")))
     classes = checkpoint(named.groupBy("label", "h", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    cells = classes.select("rep", "label", "v").mapInArrow(_cells(threshold, width, axes), "label long, dim int, block int, x int, y int, home boolean, rep long")
+    cells = classes.select("rep", "label", "v").mapInArrow(tidy(_cells(threshold, width, axes)), "label long, dim int, block int, x int, y int, home boolean, rep long")
     cell = ["label", "dim", "block", "x", "y"]
     # cells with something to compare, and into how many chunks each is cut; vectors join where cells are known
     live = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("any")).where("any and size > 1").select(*cell, F.ceil(F.col("size") / cell_rows).cast("int").alias("chunks"))
@@ -194,8 +194,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tasks = put.select(*cell, F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"), "home", "rep")
     tasks = tasks.join(classes.select("rep", "weight", "v"), "rep").select(*cell, "i", "j", "side", "home", "rep", "weight", "v")
     key = [*cell, "i", "j"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpoint(tasks.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_join(threshold, width), "a long, n long, b long"))
+    parts = partitions(spark, classes.count(), 500)
+    found = checkpoint(tasks.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(tidy(_join(threshold, width)), "a long, n long, b long"))
     partners = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     groups = connected_components(found.select("a", "b")).withColumnsRenamed({"node": "rep"})
     known = classes.select("label", "h", "v", "rep", "weight").join(partners, "rep", "left").join(groups, "rep", "left")

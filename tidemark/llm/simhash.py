@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, table
+from .common import checkpoint, map_rows, partitions, table, tidy
 from .graph import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -159,9 +159,9 @@ def fingerprint_components(fps: DataFrame, shard_rows: int = 2048) -> DataFrame:
     distinct = checkpoint(fps.select("fp").distinct())
     n = distinct.count()
     shards = max(1, -(-n // shard_rows))  # as many as keep a shard near shard_rows * 560 points
-    parts = max(1, min(shards, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    balls = distinct.select("fp").mapInArrow(_emit(shards), "shard int, points binary, masks binary")
-    edges = balls.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_meet, "a long, b long")
+    parts = partitions(fps.sparkSession, shards, 1)
+    balls = distinct.select("fp").mapInArrow(tidy(_emit(shards)), "shard int, points binary, masks binary")
+    edges = balls.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_meet), "a long, b long")
     found = connected_components(edges).withColumnsRenamed({"node": "fp"})
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
