@@ -31,6 +31,26 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+ORACLE_SQL = """
+WITH RECURSIVE cnt AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sh AS (SELECT source, n, greatest(1, CAST(round(greatest(1000, (SELECT count(*) FROM cnt)) * sqrt(n) / sum(sqrt(n)) OVER ()) AS BIGINT)) AS q FROM cnt),
+src AS (SELECT list(source ORDER BY source NULLS FIRST) AS names, list(q ORDER BY source NULLS FIRST) AS qs, CAST(sum(q) AS BIGINT) AS size FROM sh),
+run(t, served, pick) AS (
+ SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT) FOR q IN qs], CAST(0 AS BIGINT) FROM src
+ UNION ALL
+ SELECT t + 1, list_transform(served, lambda k, i: CASE WHEN i = best THEN k + 1 ELSE k END), best FROM (
+  SELECT t, served, list_sort(list_filter(list_transform(served, lambda k, i: {'late': CASE WHEN k < qs[i] AND k * size // qs[i] <= t THEN ((k + 1) * size + qs[i] - 1) // qs[i] END, 'less': -qs[i], 'i': CAST(i AS BIGINT)}), lambda c: c.late IS NOT NULL))[1].i AS best
+  FROM run, src WHERE t < size)),
+fr AS (SELECT names[pick] AS source, served[pick] AS nth, t - 1 AS pos FROM run, src WHERE t > 0),
+rk AS (SELECT doc_id, documents.source, row_number() OVER (PARTITION BY documents.source ORDER BY md5(CAST(doc_id AS VARCHAR) || ':0'), doc_id) AS rank FROM documents),
+bl AS (SELECT *, (rank - 1) // 8 + 1 AS block FROM rk),
+pl AS (SELECT bl.*, q, (block - 1) // q AS f, (block - 1) % q + 1 AS nth FROM bl JOIN sh ON sh.source IS NOT DISTINCT FROM bl.source),
+hz AS (SELECT min(((n + 7) // 8 // q) * size + pos) AS last FROM sh JOIN fr ON fr.source IS NOT DISTINCT FROM sh.source AND fr.nth = ((n + 7) // 8) % q + 1, src)
+SELECT doc_id, pl.source, rank, block, f * size + pos AS slot, f * size + (pl.nth - 1) * size // q AS release, f * size + (pl.nth * size + q - 1) // q AS deadline, f * size + pos < last AS in_horizon
+FROM pl JOIN fr ON fr.source IS NOT DISTINCT FROM pl.source AND fr.nth = pl.nth, src, hz
+"""
+
+
 def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, slots: int = 1000) -> dict[str | None, int]:
     """Slots of a frame for each source: its given weight, or count ** temperature, to the nearest 1 / slots; 1 at least."""
     raw = {s: float(weights.get(s, 0.0)) if weights is not None else n**temperature for s, n in counts.items()}

@@ -26,5 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding": embedding.ORACLE_SQL,
+        "op4_suffix": suffix.ORACLE_SQL,
+        "op7_mixing": mixing.ORACLE_SQL,
+        "op8_substring": substring.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }

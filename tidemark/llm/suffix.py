@@ -29,6 +29,18 @@ from pyspark.sql import functions as F
 from . import replies, sketch
 from .common import map_rows, partitions, table, tidy
 
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), s AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+win AS (SELECT doc_id, i, md5_number(substring(x, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM s WHERE n >= 100)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+isle AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM hit)),
+span AS (SELECT doc_id, g, min(i) AS lo, max(i) + 100 AS hi FROM isle GROUP BY doc_id, g),
+tot AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS removed, CAST(count(*) AS BIGINT) AS spans FROM span GROUP BY doc_id),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM span UNION ALL SELECT doc_id, max(hi), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substring(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS y FROM gap JOIN s ON s.doc_id = gap.doc_id GROUP BY gap.doc_id)
+SELECT s.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE y END)) AS kept_sha256
+FROM s LEFT JOIN tot ON tot.doc_id = s.doc_id LEFT JOIN kept ON kept.doc_id = s.doc_id
+"""
 _P = 0x9E3779B97F4A7C15
 #: Bytes of a text looked at a time; positions inside fit in the low 24 bits beside a hash.
 _SPAN = 1 << 22
