@@ -49,8 +49,10 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
     """
     rows = terms(df.select(key, text), text, stop_words=stop_words)
     total = rows.agg(F.count(F.lit(1)).alias("n"))
-    tf = rows.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("c"))
-    per = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("c")).where(F.col("df") >= min_docs)
+    # a text's terms in order: the first of equal ones counts the text, so one grouping gives both counts
+    ordered = rows.select(F.array_sort("terms").alias("t"))
+    marked = ordered.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("t", i - 1))).cast("int").alias("new")))).alias("m"))
+    per = marked.groupBy(F.col("m.term").alias("term")).agg(F.sum("m.new").alias("df"), F.count(F.lit(1)).alias("c")).where(F.col("df") >= min_docs)
     top = per.orderBy(F.desc("c"), "term").limit(max_features)  # the feature itself is a bounded vocabulary
     return top.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
