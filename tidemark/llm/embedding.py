@@ -39,7 +39,7 @@ low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) A
 SELECT vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
 FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
-_TILE = 1024
+_TILE = 512
 #: Room for rounding: candidates get this much more than their share, links are decided by the cosine alone.
 _SLACK = 1e-9
 
@@ -71,10 +71,10 @@ def _cells(threshold: float, width: int, axes: int):
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
                 rep, label, lists = (batch.column(i) for i in range(3))
-                sizes = np.array([len(x) for x in lists.to_pylist()])
+                sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
                 for dim in np.unique(sizes).tolist():
                     at = np.flatnonzero(sizes == dim)
-                    raw = np.array(lists.take(pa.array(at)).to_pylist(), np.float64)
+                    raw = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
                     turned = units(raw) @ rotation(dim)
                     take, out = pa.array(at), []
                     for b, (p, q) in enumerate(split(dim, width)):
@@ -132,18 +132,25 @@ def _compare(raw: np.ndarray, rep: np.ndarray, weight: np.ndarray, home: np.ndar
             ok = near(i, j, block) & (home[i][:, None] | home[j][None, :]) & (rep[i][:, None] != rep[j][None, :])
             if not two and s == t:
                 ok &= np.triu(np.ones(ok.shape, bool), 1)
-            if not ok.any():
-                continue
-            ok &= v[i] @ v[j].T >= threshold
+            few = np.count_nonzero(ok) * 16 < ok.size
+            if few:  # the exact check pair by pair, where the block leaves few pairs
+                a, b = np.nonzero(ok)
+                a, b = i[a], j[b]
+                keep = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
+                a, b = a[keep], b[keep]
+            else:
+                ok &= v[i] @ v[j].T >= threshold
+                a, b = np.nonzero(ok)
+                a, b = i[a], j[b]
             for k in range(block):  # an earlier block within its share has counted the pair
-                if not ok.any():
+                if not len(a):
                     break
-                ok &= ~near(i, j, k)
-            if ok.any():
-                links[i] += ok @ weight[j]
-                links[j] += weight[i] @ ok
-                a, b = np.nonzero(ok)
-                low = np.minimum(low, _forest(len(v), np.r_[i[a], np.arange(len(v))], np.r_[j[b], low]))
+                p, q = parts[k]
+                far = norm[k][a] + norm[k][b] - 2 * np.einsum("ij,ij->i", turned[a, p:q], turned[b, p:q]) > budget[k]
+                a, b = a[far], b[far]
+            if len(a):
+                links += np.bincount(a, weight[b], len(v)) + np.bincount(b, weight[a], len(v))
+                low = np.minimum(low, _forest(len(v), np.r_[a, np.arange(len(v))], np.r_[b, low]))
     return links, low
 
 
@@ -160,7 +167,7 @@ def _join(threshold: float, width: int):
             if len(home) < 2 or not home.any():
                 return None
             rep, weight = part["rep"].to_numpy(), part["weight"].to_numpy().astype(np.float64)
-            raw = np.array(part["v"].to_pylist(), np.float64)
+            raw = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(home), at[1])
             links, low = _compare(raw, rep, weight, home, side, at[2], threshold, width)
             some = np.flatnonzero(links > 0)
             return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(np.rint(links[some]).astype(np.int64)), pa.array(rep[low[some]])], names=["a", "n", "b"])
