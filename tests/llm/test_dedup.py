@@ -97,6 +97,15 @@ def test_simhash_odd(odd):
     check_simhash(odd)
 
 
+def test_simhash_without_ids(spark):
+    """A document without an id stays if nothing with an id is like it; shared ids don't hide other texts."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five six", "uno dos tres cuatro cinco")
+    df = spark.createDataFrame([(None, a), (1, a), (None, b), (None, b), (2, c), (2, b + " seven eight nine ten")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.simhash_dedup(df).collect()), key=str)
+    assert kept == sorted([(1, a), (None, b), (2, c), (2, b + " seven eight nine ten")], key=str)
+    assert {r.component_id for r in simhash.simhash_groups(df).where("doc_id IS NULL").collect()} == {1, None}
+
+
 def test_simhash_empty(nothing):
     assert simhash.simhash_groups(nothing).count() == simhash.simhash_dedup(nothing).count() == 0
 
@@ -119,7 +128,7 @@ def test_ball_hashing_finds_every_link(spark):
     links = [(signed[a], signed[b]) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
     want = components(signed.values(), links)
     df = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
-    assert {r.fp: r.component for r in simhash.fingerprint_components(df, shard_rows=50).collect()} == want
+    assert {r.fp: r.component for r in simhash.fingerprint_components(df, fine_rows=20).collect()} == want
 
 
 def test_components(spark):

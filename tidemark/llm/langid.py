@@ -105,7 +105,8 @@ def train(rows: list[tuple[str, str]], landmarks: int = 48, ridge: float = 1e-3)
 
 
 def part(id_col: str, parts: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+    """The remainder of the id's CRC, -1 for a null id, which is never held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, max_langs: int = 500) -> Model:

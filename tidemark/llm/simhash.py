@@ -12,8 +12,8 @@ and which of them link follows from the masks: a mask of under two bits links wi
 if they share a bit. A shard gives back a spanning forest of its links, never all pairs.
 
 Defined results: a null or empty text has no words and fingerprint zero, which links like any other; ties of bits
-count as 0 (over half is asked for); rows that repeat an id are listed as often as they come; an empty table gives
-an empty table.
+count as 0 (over half is asked for); rows that repeat an id are listed as often as they come, and of those that
+repeat an id and a text one stays; a null id comes after all others; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_rows, partitions, table, tidy
@@ -53,15 +53,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
+def _text_hash(text_col: str) -> Column:
+    """Tells rows apart that share an id or have none."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, h, fp): h is a hash of the text, fp holds the 64 bits as a signed long."""
+    rows = df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def run(cols: dict) -> list:
         fp = np.array([fingerprint(t) for t in cols["text"]], dtype=np.uint64)
-        return [cols["id"], fp.view(np.int64)]
+        return [cols["id"], cols["h"], fp.view(np.int64)]
 
-    return map_rows(rows, run, f"id {dict(rows.dtypes)['id']}, fp long")
+    return map_rows(rows, run, f"id {dict(rows.dtypes)['id']}, h long, fp long")
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +159,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def fingerprint_components(fps: DataFrame, shard_rows: int = 2048) -> DataFrame:
-    """(fp) -> (fp, component): component is the smallest fp, as a signed long, reachable by links."""
+def fingerprint_components(fps: DataFrame, shard_rows: int = 8192, fine_rows: int = 512) -> DataFrame:
+    """(fp) -> (fp, component): component is the smallest fp, as a signed long, reachable by links.
+
+    A shard holds the points of `shard_rows` fingerprints at most (about 560 each, ten bytes a point); as long as
+    that needs few shards there are more of them, of `fine_rows`, so that tasks are even.
+    """
     distinct = checkpoint(fps.select("fp").distinct())
     n = distinct.count()
-    shards = max(1, -(-n // shard_rows))  # as many as keep a shard near shard_rows * 560 points
+    shards = max(1, -(-n // shard_rows), min(-(-n // fine_rows), 16 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     parts = partitions(fps.sparkSession, shards, 1)
     balls = distinct.select("fp").mapInArrow(tidy(_emit(shards)), "shard int, points binary, masks binary")
     edges = balls.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_meet), "a long, b long")
@@ -166,21 +175,26 @@ def fingerprint_components(fps: DataFrame, shard_rows: int = 2048) -> DataFrame:
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fingerprint (hex), component_id (smallest id reachable by links)."""
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, fp, low): low is the first row (by id, then h) of the row's group."""
     docs = checkpoint(fingerprints(df, id_col, text_col))
-    classes = docs.groupBy("fp").agg(F.min("id").alias("low"))
+    classes = docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("low"))
     named = classes.join(fingerprint_components(docs), "fp")
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(lowest, "component").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lowest = named.groupBy("component").agg(F.min("low").alias("low"))
+    return docs.join(named.select("fp", "component").join(lowest, "component").select("fp", "low"), "fp")
+
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, fingerprint (hex), component_id (smallest id reachable by links)."""
+    out = _grouped(df, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low.id").alias("component_id"))
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: the one with the smallest id of each group."""
-    stay = simhash_groups(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col)).distinct()
-    # within a group of rows that share the smallest id too, the first by content stays
-    return df.join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    first = _grouped(df, id_col, text_col).select("low.id", "low.h").distinct().toDF("__stay", "__stay_h")
+    stay = df.join(first, F.col(id_col).eqNullSafe(F.col("__stay")) & (_text_hash(text_col) == F.col("__stay_h")), "left_semi")
+    return stay.dropDuplicates([id_col, text_col])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
