@@ -169,7 +169,8 @@ def fingerprint_components(fps: DataFrame, shard_rows: int = 8192, fine_rows: in
     n = distinct.count()
     shards = max(1, -(-n // shard_rows), min(-(-n // fine_rows), 16 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     parts = partitions(fps.sparkSession, shards, 1)
-    balls = distinct.select("fp").mapInArrow(tidy(_emit(shards)), "shard int, points binary, masks binary")
+    # fingerprints are small and what they emit isn't: dealt out by number, not by their own size
+    balls = distinct.repartition(partitions(fps.sparkSession, n, 2048), "fp").select("fp").mapInArrow(tidy(_emit(shards)), "shard int, points binary, masks binary")
     edges = balls.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_meet), "a long, b long")
     found = connected_components(edges).withColumnsRenamed({"node": "fp"})
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
