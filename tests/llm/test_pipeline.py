@@ -50,6 +50,22 @@ def test_stages(spark, sf, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in now.values())
 
 
+def test_rows_without_an_id_or_with_a_shared_one(spark, sf, tmp_path):
+    """One row out for each row in, with its own text's ids, in the order of the mix."""
+    rows = [(None, "no id, first text", "a"), (None, "no id, second text", "b"), (None, "no id, third", None), *[(7, f"text number {i} of one id", "ab"[i % 2]) for i in range(20)], (8, "its own", "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    order = [(r.doc_id, r.text, r.source) for r in stages["mix_sources"](spark, docs, sf).collect()]
+    assert sorted(order, key=str) == sorted(rows, key=str)
+    reference = Tokenizer.from_file(bpe.default_vocabulary())
+    ids = {(i, s, tuple(reference.encode(t, add_special_tokens=False).ids)) for i, t, s in rows}
+    got = stages["bpe"](spark, docs, sf).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.source, tuple(r.ids)) for r in got} == ids
+    slot = {(r.doc_id, r.source, tuple(r.ids)): r.slot for r in got}
+    at = [slot[i, s, tuple(reference.encode(t, add_special_tokens=False).ids)] for i, t, s in order]
+    assert at == sorted(at)
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "source", "slot", "n_tokens", "ids"] and got.count() > 0

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -169,10 +169,13 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, ids): the token ids of every whole text."""
-    path, rows = vocabulary or default_vocabulary(), _texts(df, id_col, text_col)
-    return map_rows(rows, lambda c: [c["id"], load(path).encode_batch(c["text"])], f"`{id_col}` {dict(rows.dtypes)['id']}, ids array<int>", 256)
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, ids): the token ids of every whole text, and the columns to keep beside them."""
+    path, names = vocabulary or default_vocabulary(), [f"keep{i}" for i in range(len(keep))]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
+    types = dict(rows.dtypes)
+    schema = ", ".join([f"`{id_col}` {types['id']}, ids array<int>", *[f"`{c}` {types[n]}" for c, n in zip(keep, names)]])
+    return map_rows(rows, lambda c: [c["id"], load(path).encode_batch(c["text"]), *[c[n] for n in names]], schema, 256)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

@@ -14,8 +14,8 @@ Every document is placed exactly once. As long as all sources last (in_horizon)
 hold only those that are left, in proportion to their weights.
 
 Defined results: null is a source of its own; ties of deadlines go to the larger weight, then the lower name; rows
-that repeat an id are placed one after the other; an empty table gives an empty table; null and empty texts are
-placed like others; other columns don't take part.
+that repeat an id, or have none, are placed one after the other (where whole rows are placed, by a hash of them); an
+empty table gives an empty table; null and empty texts are placed like others; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -87,16 +87,13 @@ def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' string', ': string').replace(' long', ': bigint')}>>")))
 
 
-def mix(
+def _placed(
     df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5,
-    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000,
+    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000, whole: bool = False,
 ) -> DataFrame:
-    """One row per row of df: id, source, rank (in its source, from 1), block, slot, release, deadline, in_horizon.
-
-    weights: by source, or count ** temperature. block: documents in a block. The counts by source are read to the
-    driver, max_sources at most; more are refused, not cut.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    """id, source and place of every row; whole: also row, a struct of all its columns, and ties of ids go by its hash."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if whole else []
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *row)
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()}
     if len(counts) > max_sources:
         raise ValueError(f"more than {max_sources} sources: group them before mixing")
@@ -116,7 +113,8 @@ def mix(
     sizes = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id")))
+    ties = [F.xxhash64(*[F.col(f"row.`{c}`") for c, t in df.dtypes if "map<" not in t])] if whole else []
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id", *ties)))
     ranked = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("rank", F.col("offset") + F.col("place"))
     plan = _literal(spark, slots_of, "s2 string, j long, at long, rel long, due long")
     placed = ranked.withColumn("block", F.expr(f"(rank - 1) div {block} + 1"))
@@ -124,16 +122,32 @@ def mix(
     placed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s2")) & (F.col("nth") == F.col("j")))
     base = F.col("frame") * size
     return placed.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "rank", "block", (base + F.col("at")).alias("slot"), (base + F.col("rel")).alias("release"),
-        (base + F.col("due")).alias("deadline"), (base + F.col("at") < last).alias("in_horizon"),
+        "id", "source", "rank", "block", (base + F.col("at")).alias("slot"), (base + F.col("rel")).alias("release"),
+        (base + F.col("due")).alias("deadline"), (base + F.col("at") < last).alias("in_horizon"), *(["row"] if whole else []),
     )
 
 
+def mix(
+    df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5,
+    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000,
+) -> DataFrame:
+    """One row per row of df: id, source, rank (in its source, from 1), block, slot, release, deadline, in_horizon.
+
+    weights: by source, or count ** temperature. block: documents in a block. The counts by source are read to the
+    driver, max_sources at most; more are refused, not cut.
+    """
+    placed = _placed(df, source_col, id_col, weights, temperature, slots, block, seed, bucket_rows, max_sources)
+    return placed.withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def mix_rows(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
+    """slot, rank and row, a struct of all columns, of every row of df; nothing is joined by id."""
+    return _placed(df, source_col, id_col, whole=True, **how).select("slot", "rank", "row")
+
+
 def mixed(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of df with all their columns, in the order of the schedule."""
-    order = mix(df, source_col, id_col, **how).groupBy(F.col(id_col).alias("__mix_id")).agg(F.min(F.struct("slot", "rank")).alias("__mix_at"))
-    out = df.join(order, F.col(id_col).eqNullSafe(F.col("__mix_id"))).orderBy("__mix_at.slot", "__mix_at.rank", id_col)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return mix_rows(df, source_col, id_col, **how).orderBy("slot", "rank", f"row.`{id_col}`").select(*[F.col(f"row.`{c}`") for c in df.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
