@@ -75,6 +75,23 @@ def test_broken_pages(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><meta charset=utf-8><body><article><p>Whole.</p></article>", "Whole."),
+        ("<head><title>x</title><article><p>Without a body tag.</p></article>", "Without a body tag."),
+        ("<head><head><title>x</title><main>two heads</main>", "two heads"),
+        ("<head><title>x</title>" + "Text that ends the head. " * 4, ("Text that ends the head. " * 4).strip()),
+        ("<head><noframes><p>no</p></noframes></head><article>yes</article>", "yes"),
+        ('<article><p>before</p><svg class="i"/><p>after</p></article>', "before\nafter"),
+        ("<article>a <svg/> b <math hidden /> c <SVG viewBox='0 0 1 1' />d</article>", "a b c d"),
+        ('<article>a<svg class=i/><text>no</text></svg><svg><path d="x"/></svg> b</article>', "a b"),
+    ],
+)
+def test_open_head_and_self_closed_svg(page, want):
+    assert html.main_text(page) == want
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
