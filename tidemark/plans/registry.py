@@ -623,6 +623,12 @@ def tfidf_features(spark, sf):
     return rows.select("term", "df", r6("idf"))
 
 
+@query()
+def tfidf_whole_texts(spark, sf):
+    """The operator as it is, on whole texts: tfidf_features alters them so that SQL's ASCII pattern gives its rows."""
+    return canary.term_weights(table(spark, sf, "documents")).select("term", "df", r6("idf"))
+
+
 @query()
 def leakage_canary(spark, sf):
     docs = proxy.filings(spark, sf).withColumns({"car_0_1": (F.col("event_id") * 31337 % 2001 - 1000) / 10000.0, "car_minus1_0": (F.col("event_id") * 7919 % 2003 - 1000) / 10000.0})
