@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from datetime import date, datetime
 
 import pytest
 from pyspark.ml.feature import StopWordsRemover
@@ -26,3 +27,12 @@ def test_tfidf_whole_texts(spark, tmp_path):
     got = {r.term: (r.df, r.idf) for r in registry.queries()["tfidf_whole_texts"](spark, str(tmp_path)).collect()}
     assert {"market", "café", "naïve", "straße", "2020", "café naïve"} <= set(want) and got.keys() == want.keys()
     assert all(got[t][0] == n and got[t][1] == pytest.approx(idf, abs=1e-6) for t, (n, idf) in want.items())
+
+
+def test_calendar_densify_all(spark, tmp_path):
+    """Orders of every priority count, on Monday to Friday; days without orders are zero."""
+    rows = [(date(2024, 1, 4), "1-URGENT", 1.5), (date(2024, 1, 4), "5-LOW", 2.0), (date(2024, 1, 6), "5-LOW", 9.0), (date(2024, 1, 9), "3-MEDIUM", 4.0)]
+    rows = [(datetime(d.year, d.month, d.day), p, v) for d, p, v in rows]
+    spark.createDataFrame(rows, "o_orderdate timestamp, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.day.day: r.v for r in registry.queries()["calendar_densify_all"](spark, str(tmp_path)).collect()}
+    assert got == {4: 3.5, 5: 0.0, 8: 0.0, 9: 4.0}
