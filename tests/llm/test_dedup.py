@@ -325,3 +325,15 @@ def test_embeddings(spark, cell_rows):
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding.near_duplicates(df).count() == 0
+
+
+def test_embedding_ids_missing_or_shared(spark):
+    a, near_a, b, near_b, c, near_c, d, near_d = [1.0, 0, 0, 0], [1.0, 0.1, 0, 0], [0, 1.0, 0, 0], [0.1, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0.1, 1.0, 0], [0, 0, 0, 1.0], [0, 0, 0.1, 1.0]
+    # id, vector, label; links, component, kept
+    rows = [
+        (None, a, 0, 2, 1, False), (1, near_a, 0, 2, 1, True), (None, a, 0, 2, 1, False), (5, b, 0, 1, 2, False), (2, near_b, 0, 1, 2, True), (5, c, 1, 1, 2, False), (9, near_c, 1, 1, 2, False), (5, [1.0, 0, 0], 0, 0, 2, False),
+        (7, c, 0, 0, 7, True), (None, d, 1, 1, None, True), (None, near_d, 1, 1, None, True), (None, None, 1, 0, None, True), (5, near_a, 1, 0, 2, False),
+    ]
+    df = spark.createDataFrame([(i, [float(x) for x in v] if v else None, g) for i, v, g, *_ in rows], "vec_id long, embedding array<double>, label long")
+    got = embedding.near_duplicates(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *rest) for i, _, _, *rest in rows), key=str)

@@ -7,14 +7,15 @@ over D. So each block is range-joined on a grid of its leading coordinates, a ro
 the cells after it, and every linked pair meets in the first block that is within its share: there, and only there,
 it is counted, after the exact check by cosine in double precision.
 
-Equal vectors of a label are one class from the start. A cell of more rows than `cell_rows` is cut into chunks, and
+Equal vectors of a label are one class from the start, and classes go by a number, not by an id of theirs. A cell of more rows than `cell_rows` is cut into chunks, and
 tasks take pairs of chunks, so no task holds more than two chunks. A task gives back numbers of links by vector and
 a spanning forest of its links, not the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null
-label, link with nothing and are kept as their own component; vectors of unlike lengths don't link; a null id isn't
-expected; rows that repeat an id count as one vector in component_id, and one by one in n_links; an empty table
-gives an empty table; other columns don't take part.
+label, link with nothing and are kept as their own component; vectors of unlike lengths don't link; rows without an
+id are compared and counted like others, but don't name a component: one that has no other rows has a null
+component_id and is kept; rows that repeat an id count as one vector in component_id, also where their vectors
+differ, and one by one in n_links; an empty table gives an empty table; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -200,7 +201,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # zeros of either sign are one, so that equal vectors are equal keys
     good = rows.where(fine).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("float") if "float" in dict(rows.dtypes)["v"] else F.when(x == 0, F.lit(0.0)).otherwise(x)))
     named = checkpoint(good.select("id", "label", "v", F.xxhash64("label", "v").alias("h")))
-    classes = checkpoint(named.groupBy("label", "h", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    counted = named.groupBy("label", "h", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    classes = checkpoint(counted.withColumn("rep", F.monotonically_increasing_id()))
+    members = checkpoint(named.join(classes.select("label", "h", "v", "rep"), ["label", "h", "v"]).select("id", "rep"))
     cells = classes.select("rep", "label", "v").mapInArrow(tidy(_cells(threshold, width, axes)), "label long, dim int, block int, x int, y int, home boolean, rep long")
     cell = ["label", "dim", "block", "x", "y"]
     # cells with something to compare, and into how many chunks each is cut; vectors join where cells are known
@@ -213,12 +216,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     parts = partitions(spark, classes.count(), 500)
     found = checkpoint(tasks.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(tidy(_join(threshold, width)), "a long, n long, b long"))
     partners = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    groups = connected_components(found.select("a", "b")).withColumnsRenamed({"node": "rep"})
-    known = classes.select("label", "h", "v", "rep", "weight").join(partners, "rep", "left").join(groups, "rep", "left")
-    known = known.select("label", "h", "v", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = named.join(known, ["label", "h", "v"]).select("id", "n_links", "component_id")
+    # classes that share an id are of one component
+    same = members.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
+    same = members.join(same, "id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    groups = checkpoint(connected_components(found.select("a", "b").unionByName(same)).withColumnsRenamed({"node": "rep"}))
+    lowest = groups.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("low"))
+    known = classes.select("rep", "weight", "first").join(partners, "rep", "left").join(groups, "rep", "left").join(lowest, "component", "left")
+    known = known.select("rep", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id"))
+    linked = members.join(known, "rep").select("id", "n_links", "component_id")
     alone = rows.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
