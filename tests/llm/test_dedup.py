@@ -337,3 +337,15 @@ def test_embedding_ids_missing_or_shared(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v] if v else None, g) for i, v, g, *_ in rows], "vec_id long, embedding array<double>, label long")
     got = embedding.near_duplicates(df).collect()
     assert sorted(map(tuple, got), key=str) == sorted(((i, *rest) for i, _, _, *rest in rows), key=str)
+
+
+def test_suffix_rows_without_an_id(spark):
+    rng = random.Random(8)
+    p, q, r, s = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=150)) for _ in range(4))
+    # id, text; what is kept
+    rows = [(3, p, p), (None, p + "~~~" + p, "~~~"), (None, q + q, ""), (None, r, r), (None, r, r), (None, "A" + s, "A" + s), (None, "Bb" + s, "Bb"), ((1 << 63) - 2, "C" + q, "C" + q)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept.decode()) for r in suffix.remove_repeats(df).collect()), key=str)
+    assert got == sorted(((i, len(t), len(t) - len(k), k) for i, t, k in rows), key=str)
+    alone = suffix.remove_repeats(spark.createDataFrame([(None, q + q)], "doc_id long, text string")).first()
+    assert (alone.n_removed, alone.n_spans, alone.kept.decode()) == (150, 1, q)

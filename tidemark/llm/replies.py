@@ -18,9 +18,9 @@ from .common import tidy
 SCHEMA = "bucket int, ids binary, keys binary, first binary, second binary"
 
 
-def packed(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket: documents by id and key, and two whole numbers about each."""
-    bucket = (sketch.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def packed(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int, by: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket: documents by id and key, and two whole numbers about each. by: what buckets go by, else ids."""
+    bucket = (sketch.mix((ids if by is None else by).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((first, keys, ids, bucket))
     ids, keys, first, second, bucket = (x[order] for x in (ids, keys, first, second, bucket))
     cut = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)

@@ -12,7 +12,8 @@ bytes per byte that may be repeated, and nothing for the rest.
 
 Defined results: a null or empty text has no bytes; texts shorter than `length` lose nothing; rows that repeat an id
 and a text are one document and lose the same bytes; different texts under one id count as one after the other by
-position; an empty table gives an empty table; other columns don't take part.
+position; rows without an id count as having the largest one, 2^63 - 1, so they come after all others; an empty table
+gives an empty table; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ kept AS (SELECT gap.doc_id, string_agg(substring(x, 2 * a + 1, 2 * (coalesce(b,
 SELECT s.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE y END)) AS kept_sha256
 FROM s LEFT JOIN tot ON tot.doc_id = s.doc_id LEFT JOIN kept ON kept.doc_id = s.doc_id
 """
+#: Stands for a null id.
+_LAST = (1 << 63) - 1
 _P = 0x9E3779B97F4A7C15
 #: Bytes of a text looked at a time; positions inside fit in the low 24 bits beside a hash.
 _SPAN = 1 << 22
@@ -215,17 +218,21 @@ def _shard(parts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
 def _factor(length: int, buckets: int):
     """Rows come sorted by shard; a shard is held at a time."""
 
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        out = _shard(held, length)
+        return replies.packed(*out, buckets, by=out[0] ^ out[1])  # many texts may have one id, or none
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             for shard, h, ids, keys, start, count, lead, text in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if shard != at and held:
-                    yield replies.packed(*_shard(held, length), buckets)
+                    yield packed(held)
                     held = []
                 at = shard
                 held.append((np.frombuffer(h, np.uint64), sketch.unpack(ids, np.int64), sketch.unpack(keys, np.int64), sketch.unpack(start, np.int64), np.frombuffer(count, np.uint8), np.frombuffer(lead, np.uint8), sketch.unpack(text, np.uint8).tobytes()))
         if held:
-            yield replies.packed(*_shard(held, length), buckets)
+            yield packed(held)
 
     return run
 
@@ -239,7 +246,7 @@ class _Hashes:
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, anchor: int = 40) -> DataFrame:
-    """(id, key, pairs): pairs of int64, packed, the first window and how many, that also start earlier.
+    """(id, key, pairs), id being _LAST where it's null: pairs of int64, packed, the first window and how many, that also start earlier.
 
     key is the text's hash, which tells rows apart that share an id.
     """
@@ -251,7 +258,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = 2 * size / (length - anchor + 2)
     shards, buckets = max(parts, int(size // 16_000_000)), max(parts, int(size // 3_000_000))
     shared = spark.sparkContext.broadcast(sketch.build(df.select(text_col), _Hashes(length, anchor), sketch.bits_for(anchors)))
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
     found = rows.mapInArrow(tidy(_emit(shared, length, anchor, shards)), "shard int, h binary, ids binary, keys binary, start binary, count binary, lead binary, text binary")
     gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_factor(length, buckets)), replies.SCHEMA)
     return replies.gathered(gone, parts)
@@ -270,7 +277,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every document."""
     gone = repeated_spans(df, id_col, text_col, length, anchor)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.coalesce("__text", F.lit(""))))
-    both = rows.join(gone, (F.col("__id").cast("long") == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "pairs")
+    both = rows.join(gone, (F.coalesce(F.col("__id").cast("long"), F.lit(_LAST)) == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "pairs")
 
     def run(cols: dict) -> list:
         size, off, n, kept = [], [], [], []
