@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding, exact_dedup, replies, simhash, sketch, substring, suffix
+from tidemark.llm import embedding, exact_dedup, repeats, simhash, sketch, substring, suffix
 from tidemark.llm.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,19 +177,45 @@ def test_windows_table(spark, sf):
     check_windows(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
-def test_sketch_never_misses(spark):
+@pytest.mark.parametrize("chunk", [sketch.CHUNK, 4096, 100])
+def test_sketch_never_misses(chunk):
+    """Parts of a sketch, merged and answered chunk by chunk; what passes doesn't grow with the number of chunks."""
     rng = np.random.default_rng(0)
-    h = sketch.mix(rng.integers(0, 40_000, 60_000).astype(np.uint64))
-    df = spark.createDataFrame([(i,) for i in range(60)], "i int").repartition(7)
-
-    def hashes(cols):
-        return np.concatenate([h[i * 1000 : (i + 1) * 1000] for i in cols])
-
-    merged = sketch.build(df, hashes, 20)
-    values, counts = np.unique(h, return_counts=True)
-    maybe = sketch.maybe_repeated(merged, values)
-    assert maybe[counts > 1].all()
-    assert maybe[counts == 1].mean() < 0.05
+    parts = np.array_split(sketch.mix(np.r_[np.arange(60_000), rng.integers(0, 60_000, 9_000)].astype(np.uint64)), 23)
+    form, packs = sketch.shape(69_000, chunk), defaultdict(list)
+    assert form.chunks == -(-69_000 * sketch.ROOM // chunk)
+    for i, h in enumerate(parts):
+        for c, once, twice in sketch.touched(h, form):
+            packs[c].append((i, once, twice))
+    answers = defaultdict(dict)
+    for c, some in packs.items():
+        for (i, *_), bits in zip(some, sketch.merged([p[1:] for p in some], form)):
+            answers[i][c] = bits
+    maybe = np.concatenate([sketch.maybe_repeated(h, answers[i], form) for i, h in enumerate(parts)])
+    _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    assert maybe[counts[inverse] > 1].all()
+    assert maybe[counts[inverse] == 1].mean() < 0.15
+    assert len(sketch.maybe_repeated(np.zeros(0, np.uint64), {}, form)) == 0
+
+
+@pytest.mark.parametrize("bucket", [repeats.BUCKET, 3_000])
+def test_windows_and_strings_over_many_buckets(spark, monkeypatch, bucket):
+    """A passage in half of the documents, texts of one word or byte, rows that share an id or have none."""
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7)))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 30))), *([passage] if rng.random() < 0.5 else []), *(word() for _ in range(rng.randint(0, 30)))]) for _ in range(120)]
+    texts += ["na " * 300, "na " * 200 + passage, "-" * 9000, "ab" * 700, passage + " " + passage]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (7, texts[7])], "doc_id long, text string")
+    check_suffix(df)
+    check_windows(df)
+    lone = df.union(spark.createDataFrame([(None, passage), (None, texts[9] + passage)], df.schema))
+    want = brute_windows(docs_of(df))
+    got = substring.remove_repeats(lone).collect()
+    # without an id nothing is lost, and nothing is taken from others
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got if r.doc_id is not None) == sorted((i, *want[i, t]) for i, t in docs_of(df))
+    assert [r.n_removed for r in got if r.doc_id is None] == [0, 0]
 
 
 def test_packing():
@@ -245,10 +271,10 @@ def test_suffix_shard_with_a_common_anchor(monkeypatch, sort):
     parts = []
     for i, t in docs:
         b = t.encode()
-        h, start, count, lead = suffix.runs(b, 100, 40)
-        parts += [(h[j : j + 1], np.array([i]), np.array([0]), start[j : j + 1], count[j : j + 1].astype(np.uint8), lead[j : j + 1].astype(np.uint8), b[start[j] : start[j] + count[j] + 99]) for j in range(len(h))]
-    ids, _, start, n = suffix._shard(parts, 100)
-    got = {(i, s + k) for i, s, c in zip(ids.tolist(), start.tolist(), n.tolist()) for k in range(c)}
+        parts += [(h, i, 0, s, c, b[s : s + c + 99]) for h, s, c in zip(*(x.tolist() for x in suffix.runs(b, 100, 40)))]
+    h, ids, keys, start, count = (np.array([p[k] for p in parts], np.uint64 if k == 0 else np.int64) for k in range(5))
+    found = list(suffix.judge(repeats.Stretches(h, ids, keys, start, count, [p[5] for p in parts]), 100))
+    got = {(int(ids[r]), int(start[r]) + f + k) for f_ in found for r, f, n in zip(*(x.tolist() for x in f_)) for k in range(n)}
     seen, want = set(), set()
     for i, t in docs:
         for k in range(len(t) - 99):
@@ -273,22 +299,14 @@ def test_previous_factors():
 
 def test_long_text_in_spans(monkeypatch):
     monkeypatch.setattr(suffix, "_SPAN", 500)
+    monkeypatch.setattr(repeats, "_SPAN", 130)
     b = bytes(random.Random(3).choices(b"abc ", k=2000))
-    h, start, count, lead = suffix.runs(b, 100, 40)
+    h, start, count = suffix.runs(b, 100, 40)
     assert count.sum() == len(b) - 99 and (start[1:] == start[:-1] + count[:-1]).all()
     again, *_ = suffix.runs(b[300:], 100, 40)
     assert set(again[1:-1].tolist()) <= set(h.tolist())
 
 
-def test_replies(spark):
-    rng = np.random.default_rng(0)
-    ids, keys = rng.integers(0, 30, 400), np.zeros(400, np.int64)
-    batch = replies.packed(ids, keys, np.arange(400), np.arange(400) * 2, 7)
-    df = spark.createDataFrame([tuple(r.values()) for r in batch.to_pylist()], replies.SCHEMA)
-    got = {r.id: np.frombuffer(r.pairs, np.int64).reshape(-1, 2) for r in replies.gathered(df, 3).collect()}
-    assert {i: g[:, 0].tolist() for i, g in got.items()} == {int(i): np.flatnonzero(ids == i).tolist() for i in np.unique(ids)}
-
-
 # embeddings
 
 

@@ -1,33 +1,39 @@
-"""Count-min sketches of 64-bit hashes, merged from partitions, to tell which may occur more than once.
-
-A sketch has two rows of 2**bits counters that stop at two, since no more is asked of them. A task writes its part of
-a row as the sorted cells it touched, in chunks of the row, packed; parts of a chunk are merged on one task, and what
-comes out is a bit per cell: counted twice or more. A hash whose cells have that bit in both rows may be repeated; one
-that is repeated always has it. The merged sketch is 2 * 2**bits / 8 bytes, 64 MiB at most (MAX_BITS), which is the
-bound on what is broadcast whatever the input's size; beyond the size for which that many cells are roomy, more
-hashes pass than need to, which costs time but no result.
+"""Count-min sketches of 64-bit hashes, merged from parts, to tell which may occur more than once.
+
+A sketch has two rows of counters that stop at two, since no more is asked of them, and ROOM counters a row for each
+hash, whatever the input's size: it isn't held anywhere as a whole. A row is cut into chunks. A part (a bucket of
+documents, say) writes the sorted cells it touched and which of them twice, packed by chunk; parts of a chunk are
+merged on one task, which holds that chunk alone and answers each part with a bit per touched cell: counted twice or
+more, over all parts. A hash whose cells have that bit in both rows may be repeated; one that is repeated always has
+it. Of the hashes that occur once about one in twelve passes, (1 - exp(-1 / ROOM))**2, at any size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
 
-from .common import partitions, tidy
-
-ROWS, MAX_BITS, CHUNK = 2, 28, 20
-#: Hashes that a task gathers before it writes them out.
-FLUSH = 1 << 20
+ROWS, ROOM = 2, 3
+#: Cells of a chunk, a byte each where it's merged.
+CHUNK = 1 << 22
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_LOW, _32 = np.uint64((1 << 32) - 1), np.uint64(32)
+
 
+class Shape(NamedTuple):
+    chunks: int
+    width: int
 
-def bits_for(hashes: float) -> int:
-    return min(MAX_BITS, max(CHUNK, math.ceil(math.log2(max(hashes, 1) * 2))))
+
+def shape(hashes: float, chunk: int = CHUNK) -> Shape:
+    """Chunks of a row, and the cells of each, for about so many hashes."""
+    cells = max(1024, math.ceil(ROOM * hashes))
+    chunks = -(-cells // chunk)
+    return Shape(chunks, -(-cells // chunks))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,8 +42,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (h * _MULTIPLIERS[row]) >> np.uint64(64 - bits)
+def cells(h: np.ndarray, row: int, form: Shape) -> np.ndarray:
+    """The chunk, in the high half, and the cell in it."""
+    g = mix(h * _MULTIPLIERS[row])
+    return ((g >> _32) * np.uint64(form.chunks) >> _32) << _32 | (g & _LOW) * np.uint64(form.width) >> _32
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -51,78 +59,37 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def _parts(h: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _by_chunk(key: np.ndarray, form: Shape) -> Iterator[tuple[int, slice]]:
+    """The chunks that sorted keys are of."""
+    at = (key >> _32).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(key) else np.zeros(1, np.int64)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(at[lo]), slice(lo, hi)
+
+
+def touched(h: np.ndarray, form: Shape) -> Iterator[tuple[int, bytes, bytes]]:
+    """(chunk over both rows, cells, which of them twice) of a part's hashes."""
     for row in range(ROWS):
-        c = np.sort(cells(h, row, bits).astype(np.uint32))
-        first = np.r_[True, c[1:] != c[:-1]]
-        again = np.unique(c[~first])
-        c = c[first]
-        edges = np.arange(0, (1 << bits) + 1, 1 << CHUNK, dtype=np.uint64)
-        at, at2 = np.searchsorted(c, edges), np.searchsorted(again, edges)
-        for k in range(len(edges) - 1):
-            if at[k] < at[k + 1]:
-                a, b = c[at[k] : at[k + 1]] - np.uint32(k << CHUNK), again[at2[k] : at2[k + 1]] - np.uint32(k << CHUNK)
-                yield (row << 16) + k, pack(np.diff(a, prepend=np.uint32(0))), pack(np.diff(b, prepend=np.uint32(0)))
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by chunk; one chunk's counters are held at a time."""
-    at, one, two = None, None, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], names=["chunk", "twice"])
-
-    for batch in batches:
-        for chunk, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if chunk != at:
-                if at is not None:
-                    yield done()
-                at, one, two = chunk, np.zeros(1 << CHUNK, bool), np.zeros(1 << CHUNK, bool)
-            a, b = np.cumsum(unpack(a, np.uint32)), np.cumsum(unpack(b, np.uint32))
-            two[a[one[a]]] = True
-            two[b] = True
-            one[a] = True
-    if at is not None:
-        yield done()
-
-
-def build(df: DataFrame, hashes: Callable[[list], np.ndarray], bits: int) -> np.ndarray:
-    """The merged sketch of the hashes that `hashes` finds in df's first column, as an array of (row, byte)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def write() -> pa.RecordBatch:
-            found = list(_parts(np.concatenate(held), bits))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2))], names=["chunk", "once", "again"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                h = hashes(batch.column(0).slice(lo, 256).to_pylist())
-                if len(h):
-                    held.append(h)
-                    size += len(h)
-                if size >= FLUSH:
-                    yield write()
-                    held, size = [], 0
-        if size:
-            yield write()
-
-    parts = partitions(df.sparkSession, ROWS << bits, 1 << CHUNK)
-    merged = df.mapInArrow(tidy(run), "chunk int, once binary, again binary").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_merge), "chunk int, twice binary")
-    out = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
-    step = (1 << CHUNK) // 8
-    for r in merged.toLocalIterator():  # a bit per cell, so bounded by MAX_BITS
-        k = r["chunk"] & 0xFFFF
-        out[r["chunk"] >> 16, k * step : (k + 1) * step] = np.frombuffer(r["twice"], np.uint8)
-    return out
+        key, n = np.unique(cells(h, row, form), return_counts=True)
+        for chunk, at in _by_chunk(key, form):
+            yield row * form.chunks + chunk, pack(np.diff((key[at] & _LOW).astype(np.uint32), prepend=np.uint32(0))), np.packbits(n[at] > 1).tobytes()
+
+
+def merged(packs: Iterable[tuple[bytes, bytes]], form: Shape) -> Iterator[bytes]:
+    """The answer to each of one chunk's packs (cells, which twice), in their order; packs are gone through twice."""
+    count = np.zeros(form.width, np.uint8)
+    for once, twice in packs:
+        at = np.cumsum(unpack(once, np.uint32), dtype=np.uint32)
+        count[at] = np.minimum(count[at] + 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)), 2)
+    for once, _ in packs:
+        yield np.packbits(count[np.cumsum(unpack(once, np.uint32), dtype=np.uint32)] > 1).tobytes()
 
 
-def maybe_repeated(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bits = int(sketch.shape[1] * 8).bit_length() - 1
+def maybe_repeated(h: np.ndarray, answers: dict[int, bytes], form: Shape) -> np.ndarray:
+    """Which of a part's hashes may be repeated, by the answers to what it touched."""
     out = np.ones(len(h), bool)
     for row in range(ROWS):
-        c = cells(h, row, bits)
-        out &= (sketch[row, c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        key, inverse = np.unique(cells(h, row, form), return_inverse=True)
+        bits = [np.unpackbits(np.frombuffer(answers[row * form.chunks + chunk], np.uint8), count=at.stop - at.start) for chunk, at in _by_chunk(key, form)]
+        out &= np.concatenate([np.zeros(0, np.uint8), *bits])[inverse] == 1
     return out

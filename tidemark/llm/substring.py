@@ -1,16 +1,15 @@
 """Repeated word windows across documents, behind a count-min prefilter.
 
-First pass: every 13-word window's hash goes into a count-min sketch, merged from partitions. Second pass: windows
-that the sketch estimates repeated, and only those, are grouped exactly by a 96-bit hash of their words (two
-independent hashes; a chance clash among a trillion windows has a probability below 1e-5), and a window that also
-starts in a document with a smaller id is removed. The sketch never misses a repeated window, so no removal is lost.
-
-Windows travel in packed arrays by shard of their hash, with the documents they are from; a shard is grouped by
-sorting arrays, so a window that very many documents share is a long run in an array and makes no pairs.
+First pass: every bucket of documents writes the anchors of its 13-word windows (the lowest hash of seven
+neighbouring words in each) into a count-min sketch. An anchor counts at least as often as each of its windows, so
+the merged sketch overestimates how often a window occurs, and never misses a repeated one. Second pass: windows that
+it estimates repeated, and only those, are grouped exactly, by their words (`repeats`), and a window that also starts
+in a document with a smaller id is removed.
 
 Defined results: a null or empty text has no words; texts of under 13 words lose nothing; rows that repeat an id
-(with the same or another text) don't remove from each other, as neither id is smaller; an empty table gives an
-empty table; other columns don't take part.
+(with the same or another text) don't remove from each other, as neither id is smaller; a row without an id loses
+nothing and takes nothing from others, as no id is smaller or larger; an empty table gives an empty table; other
+columns don't take part.
 """
 
 from __future__ import annotations
@@ -19,13 +18,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import replies, sketch
-from .common import map_rows, partitions, table, tidy
+from . import repeats, sketch
+from .common import table
+from .suffix import removed
 
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -39,151 +38,101 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c, 0) AS BIGI
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Windows that a task gathers before it writes them out.
-_FLUSH = 1 << 19
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass"))
 
 
-def windows(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of `width` words, 64 and 32 bits."""
-    n = len(words) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    digest = xxhash.xxh64_intdigest
-    w = np.fromiter((digest(x) for x in words), np.uint64, len(words))
-    v = sketch.mix(w)
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in range(width):
-        a = a * _A + w[i : i + n]
-        b = b * _B + v[i : i + n]
-    return sketch.mix(a), (sketch.mix(b) >> np.uint64(32)).astype(np.uint32)
-
-
-def _emit(shared, width: int, shards: int):
-    """(id, key, text) -> packed candidate windows by shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def write() -> pa.RecordBatch:
-            a, b, who, start = (np.concatenate([x[i] for x in held]) for i in range(4))
-            ids, keys = np.array([x[4] for x in held], np.int64), np.array([x[5] for x in held], np.int64)
-            shard = (a % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            a, b, who, start = a[order], b[order], who[order], start[order]
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = []
-            for s in range(shards):
-                if cut[s] < cut[s + 1]:
-                    at = slice(cut[s], cut[s + 1])
-                    some, mine = np.unique(who[at], return_inverse=True)
-                    rows.append((s, a[at].tobytes(), b[at].tobytes(), sketch.pack(mine.astype(np.uint32)), sketch.pack(start[at]), sketch.pack(ids[some]), keys[some].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names=["shard", "a", "b", "who", "start", "ids", "keys"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for i, k, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    a, b = windows(words_of(text), width)
-                    keep = np.flatnonzero(sketch.maybe_repeated(shared.value, a)) if len(a) else ()
-                    if len(keep):
-                        held.append((a[keep], b[keep], np.full(len(keep), len(held), np.uint32), keep.astype(np.uint32), i, k))
-                        size += len(keep)
-                    if size >= _FLUSH:
-                        yield write()
-                        held, size = [], 0
-        if size:
-            yield write()
-
-    return run
-
-
-def _group(buckets: int):
-    """Rows come sorted by shard. Gives windows to remove, packed by bucket of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def done() -> pa.RecordBatch:
-            a, b, ids, keys, start = (np.concatenate([x[i] for x in held]) for i in range(5))
-            order = np.lexsort((ids, b, a))
-            a, b, ids, keys, start = a[order], b[order], ids[order], keys[order], start[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            first = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = ids > first
-            return replies.packed(ids[gone], keys[gone], start[gone], np.ones(int(gone.sum()), np.int64), buckets)
-
-        for batch in batches:
-            for shard, a, b, who, start, ids, keys in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if shard != at and held:
-                    yield done()
-                    held = []
-                at = shard
-                mine = sketch.unpack(who, np.uint32)
-                held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), sketch.unpack(ids, np.int64)[mine], np.frombuffer(keys, np.int64)[mine], sketch.unpack(start, np.uint32)))
-        if held:
-            yield done()
-
-    return run
-
-
-def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
-    """(id, key, pairs): pairs of int64, packed, the first word and 1 for each window that a smaller id has too.
-
-    key is the text's hash, which tells rows apart that share an id.
-    """
-    spark = df.sparkSession
-    size = df.agg(F.sum(F.length(text_col))).first()[0] or 0
-    words = size / 5
-    parts = partitions(spark, size)
-    shards, buckets = max(parts, int(words // 1_500_000)), max(parts, int(words // 500_000))
-    shared = spark.sparkContext.broadcast(sketch.build(df.select(text_col), _Hashes(width), sketch.bits_for(words)))
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
-    found = rows.mapInArrow(tidy(_emit(shared, width, shards)), "shard int, a binary, b binary, who binary, start binary, ids binary, keys binary")
-    gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_group(buckets)), replies.SCHEMA)
-    return replies.gathered(gone, parts)
-
-
-class _Hashes:
-    def __init__(self, width: int):
-        self.width = width
-
-    def __call__(self, texts: list) -> np.ndarray:
-        return np.concatenate([windows(words_of(t), self.width)[0] for t in texts] or [np.zeros(0, np.uint64)])
-
-
-def covered(pairs: bytes | None, size: int, width: int) -> np.ndarray:
-    """Which of `size` places are covered by windows at the given starts."""
-    edge = np.zeros(size + 1, np.int64)
-    if pairs:
-        start = np.unique(np.frombuffer(pairs, np.int64).reshape(-1, 2)[:, 0])
-        edge[start] += 1
-        edge[start + width] -= 1
-    return np.cumsum(edge)[:-1] > 0
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
+def runs(words: list[bytes], width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of neighbouring windows with one anchor: the anchor's hash, the first window, the number of windows."""
+    n = len(words) - k + 1
+    if len(words) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * _A + w[i : i + n]
+    return repeats.anchored(sketch.mix(h), width - k + 1)
+
+
+def _spans(row: int, off: list[bool]) -> Iterator[tuple[int, int, int]]:
+    lo = 0
+    while lo < len(off):
+        hi = lo + 1
+        while hi < len(off) and off[hi] == off[lo]:
+            hi += 1
+        if off[lo]:
+            yield row, lo, hi - lo
+        lo = hi
+
+
+def judge(rows: repeats.Stretches, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, first windows in them and numbers of windows that also start in a document with a smaller id."""
+    order = np.argsort(rows.h, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(rows.h[order]) != 0, True])
+    found: list[tuple[int, int, int]] = []
+    ids, count = rows.ids.tolist(), rows.count.tolist()
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if hi - lo < 2:
+            continue
+        classes: dict[bytes, list[int]] = {}
+        for i in order[lo:hi].tolist():
+            classes.setdefault(rows.text[i], []).append(i)
+        if len(classes) == 1:
+            some = order[lo:hi].tolist()
+            low = min(ids[i] for i in some)
+            found += [(i, 0, count[i]) for i in some if ids[i] > low]
+            continue
+        seen: dict[bytes, int] = {}
+        windows = []
+        for text, some in classes.items():
+            words, low = text.split(b" "), min(ids[i] for i in some)
+            windows.append([b" ".join(words[j : j + width]) for j in range(count[some[0]])])
+            for w in windows[-1]:
+                if seen.get(w, low) >= low:
+                    seen[w] = low
+        for own, some in zip(windows, classes.values()):
+            low_of = [seen[w] for w in own]
+            for i in some:
+                found += _spans(i, [x < ids[i] for x in low_of])
+    yield tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+class Words(repeats.Kind):
+    schema = "n_words long, n_removed long, kept binary"
+    within = False
+
+    def __init__(self, width: int, anchor: int):
+        self.width, self.anchor = width, anchor
+
+    def cut(self, text: str | None) -> list[bytes]:
+        return words_of(text)
+
+    def runs(self, cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return runs(cut, self.width, self.anchor)
+
+    def stretch(self, cut: list[bytes], start: int, count: int) -> bytes:
+        return b" ".join(cut[start : start + count + self.width - 1])
+
+    def judge(self, rows: repeats.Stretches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return judge(rows, self.width)
+
+    def report(self, cut: list[bytes], start: np.ndarray, count: np.ndarray) -> tuple[int, int, bytes]:
+        if not len(start):
+            return len(cut), 0, b" ".join(cut)
+        gone = removed(start, count, len(cut), self.width)
+        return len(cut), int(gone.sum()), b" ".join([w for w, x in zip(cut, gone.tolist()) if not x])
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, anchor: int = 7) -> DataFrame:
     """id, n_words, n_removed, kept (the words that stay, joined by a space; bytes of UTF-8) of every document."""
-    gone = repeated_windows(df, id_col, text_col, width)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.coalesce("__text", F.lit(""))))
-    both = rows.join(gone, (F.col("__id").cast("long") == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "pairs")
-
-    def run(cols: dict) -> list:
-        size, removed, kept = [], [], []
-        for text, pairs in zip(cols["text"], cols["pairs"]):
-            words = words_of(text)
-            off = covered(pairs, len(words), width)
-            size.append(len(words))
-            removed.append(int(off.sum()))
-            kept.append(b" ".join([w for w, x in zip(words, off.tolist()) if not x] if pairs else words))
-        return [cols["id"], size, removed, kept]
-
-    return map_rows(both, run, f"`{id_col}` {dict(both.dtypes)['id']}, n_words long, n_removed long, kept binary")
+    if not 0 < anchor <= width <= 254 + anchor:
+        raise ValueError("the anchor must fit in the width, and a run's windows in a byte")
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    words = size / 6
+    return repeats.remove(df, Words(width, anchor), id_col, text_col, F.col(id_col).cast("long"), size, 2 * words / (width - anchor + 2))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,14 @@
 """Repeated byte strings across documents by longest-previous-factor arrays.
 
-A string of `length` bytes is removed where it also starts earlier. All occurrences of a string choose the same
-k-gram in it (the lowest hash, leftmost of equal ones), so windows are dealt by that anchor and every group sees all
-occurrences of its windows, wherever they are. A count-min sketch over the anchors (no anchor that is repeated is
-missed) keeps back those that occur once. In a group, windows are put in suffix order; the previous and the next
-smaller position in that order give the longest previous factor of each, and a window whose factor has `length`
-bytes also starts earlier. Equal stretches of text are looked at once per group, the earliest for all.
-
-Windows of neighbouring positions share an anchor, so a group's text is stored once per run of windows, about four
-bytes per byte that may be repeated, and nothing for the rest.
+A string of `length` bytes is removed where it also starts earlier. Windows are dealt by anchors (`repeats`), so that
+one group sees all occurrences of its windows, wherever they are. In a group, windows are put in suffix order; the
+previous and the next smaller position in that order give the longest previous factor of each, and a window whose
+factor has `length` bytes also starts earlier. Equal stretches of text are looked at once, the earliest for all.
 
 Defined results: a null or empty text has no bytes; texts shorter than `length` lose nothing; rows that repeat an id
 and a text are one document and lose the same bytes; different texts under one id count as one after the other by
 position; rows without an id count as having the largest one, 2^63 - 1, so they come after all others; an empty table
-gives an empty table; other columns don't take part.
+gives an empty table; other columns don't take part. A byte that goes on for megabytes is a few equal stretches.
 """
 
 from __future__ import annotations
@@ -22,13 +17,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import replies, sketch
-from .common import map_rows, partitions, table, tidy
+from . import repeats, sketch
+from .common import table
 
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), s AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
@@ -45,11 +39,8 @@ FROM s LEFT JOIN tot ON tot.doc_id = s.doc_id LEFT JOIN kept ON kept.doc_id = s.
 #: Stands for a null id.
 _LAST = (1 << 63) - 1
 _P = 0x9E3779B97F4A7C15
-#: Bytes of a text looked at a time; positions inside fit in the low 24 bits beside a hash.
-_SPAN = 1 << 22
-_LOW = np.uint64((1 << 24) - 1)
-#: Bytes of runs that a task gathers before it writes them out, and windows that are sorted at a time.
-_FLUSH, _SORT = 1 << 22, 1 << 16
+#: Bytes of a text hashed at a time, and windows that are sorted at a time.
+_SPAN, _SORT = 1 << 20, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -59,29 +50,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([one, np.cumprod(np.full(n, x, np.uint64))]) for x in (_P, inverse))
 
 
-def runs(text: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of each run of neighbouring windows with one anchor: the anchor's hash, the first window, the number of
-    windows, and how far the anchor is from the first."""
-    parts = []
-    n, w = len(text), length - k + 1
-    for base in range(0, max(n - length + 1, 0), _SPAN):
+def runs(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of neighbouring windows with one anchor: the anchor's hash, the first window, the number of windows."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for base in range(0, max(len(text) - length + 1, 0), _SPAN):
         raw = np.frombuffer(text, np.uint8)[base : base + _SPAN + length - 1]
         up, down = _powers(1 << max(12, (len(raw) - 1).bit_length()))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-        h = sketch.mix((total[k:] - total[:-k]) * down[: len(raw) - k + 1])
-        low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-        step = 1
-        while 2 * step <= w:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        if step < w:
-            low = np.minimum(low[: len(low) - (w - step)], low[w - step :])
-        at = (low & _LOW).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        parts.append((h[at[start]], start + base, np.diff(np.r_[start, len(at)]), at[start] - start))
-    if not parts:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+        low, start, count = repeats.anchored(sketch.mix((total[k:] - total[:-k]) * down[: len(raw) - k + 1]), length - k + 1)
+        parts.append((low, start + base, count))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
 def _nearest_smaller(pos: np.ndarray) -> np.ndarray:
@@ -117,185 +95,102 @@ def previous_factors(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emit(shared, length: int, k: int, shards: int):
-    """(id, key, text) -> packed runs that may be repeated, by shard of the anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def write() -> pa.RecordBatch:
-            h, ids, keys, start, count, lead = (np.concatenate([x[i] for x in held]) for i in range(6))
-            texts = [t for x in held for t in x[6]]
-            shard = (h % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = []
-            for s in range(shards):
-                at = order[cut[s] : cut[s + 1]]
-                if len(at):
-                    rows.append((s, h[at].tobytes(), sketch.pack(ids[at]), sketch.pack(keys[at]), sketch.pack(start[at]), count[at].tobytes(), lead[at].tobytes(), sketch.pack(np.frombuffer(b"".join([texts[i] for i in at.tolist()]), np.uint8))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 8))], names=["shard", "h", "ids", "keys", "start", "count", "lead", "text"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for i, key, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    h, start, count, lead = runs(raw, length, k)
-                    keep = np.flatnonzero(sketch.maybe_repeated(shared.value, h)) if len(h) else ()
-                    for j in range(0, len(keep), 1 << 14):
-                        some = keep[j : j + (1 << 14)]
-                        texts = [raw[a : a + c + length - 1] for a, c in zip(start[some].tolist(), count[some].tolist())]
-                        held.append((h[some], np.full(len(some), i, np.int64), np.full(len(some), key, np.int64), start[some], count[some].astype(np.uint8), lead[some].astype(np.uint8), texts))
-                        size += sum(map(len, texts))
-                        if size >= _FLUSH:
-                            yield write()
-                            held, size = [], 0
-        if size:
-            yield write()
-
-    return run
-
-
-def _shard(parts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
-    """ids, keys, first window, number of windows of the runs in a shard that also start earlier."""
-    h, ids, keys, start, count, lead = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    whole = b"".join(p[6] for p in parts)
-    size = count.astype(np.int64) + length - 1
-    at = np.cumsum(size) - size
-    digest = np.array([xxhash.xxh3_64_intdigest(whole[a : a + s]) for a, s in zip(at.tolist(), size.tolist())], np.uint64)
-    order = np.lexsort((keys, start, ids, h))
-    h, ids, keys, start, count, lead, size, at, digest = (x[order] for x in (h, ids, keys, start, count, lead, size, at, digest))
-    # a row of the same id and text again is the same place
-    place = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] != start[:-1])]
-    h, ids, keys, start, count, lead, size, at, digest = (x[place] for x in (h, ids, keys, start, count, lead, size, at, digest))
+def _equal_before(windows: np.ndarray, length: int) -> np.ndarray:
+    """The windows that also start earlier, of windows in text order."""
+    if len(windows) <= 2 * _SORT:
+        return np.flatnonzero(previous_factors(windows) >= length)
+    # one very common anchor: windows that begin and end alike are looked at apart from the rest
+    ends = [np.ascontiguousarray(x).view(np.uint64).reshape(-1) for x in (windows[:, :8], windows[:, -8:])] if length >= 8 else [windows[:, 0].astype(np.uint64)] * 2
+    part = sketch.mix(ends[0] ^ sketch.mix(ends[1])) % np.uint64(-(-len(windows) // _SORT))
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+    some = [order[lo:hi] for lo, hi in zip(cut[:-1], cut[1:])]
+    return np.sort(np.concatenate([p[previous_factors(windows[p]) >= length] for p in some]))
+
+
+def judge(rows: repeats.Stretches, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, first windows in them and numbers of windows that also start earlier, by id, position and text hash."""
+    order = np.lexsort((rows.keys, rows.start, rows.ids, rows.h))
+    h = rows.h[order]
+    group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+    order = order[np.bincount(group, minlength=1)[group] > 1]  # an anchor of one stretch has nothing to compare with
+    if not len(order):
+        return
+    h, count, text = rows.h[order], rows.count[order], [rows.text[i] for i in order.tolist()]
     # equal stretches: the earliest stands for all; bytes are compared, not just their digests
-    order = np.lexsort((np.arange(len(h)), digest, h))
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (digest[order][1:] != digest[order][:-1])]
+    digest = np.array([xxhash.xxh3_64_intdigest(t) for t in text], np.uint64)
+    by = np.lexsort((np.arange(len(h)), digest, h))
+    new = np.r_[True, (h[by][1:] != h[by][:-1]) | (digest[by][1:] != digest[by][:-1])]
     first = np.empty(len(h), np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    copy = first != np.arange(len(h))
-    for i in np.flatnonzero(copy).tolist():
-        j = int(first[i])
-        if size[i] != size[j] or whole[at[i] : at[i] + size[i]] != whole[at[j] : at[j] + size[j]]:
-            copy[i] = False
-    out = [(ids[copy], keys[copy], start[copy], count[copy].astype(np.int64))]
+    first[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    copy = np.array([i != j and text[i] == text[j] for i, j in enumerate(first.tolist())])
+    yield order[copy], np.zeros(copy.sum(), np.int64), count[copy]
     # what is left, group by group in text order, for the groups that have two stretches or more
     left = np.flatnonzero(~copy)
-    new = np.r_[True, h[left][1:] != h[left][:-1]] if len(left) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    left = left[np.bincount(group)[group] > 1] if len(left) else left
-    edge = np.r_[np.flatnonzero(np.r_[True, h[left][1:] != h[left][:-1]]), len(left)] if len(left) else np.zeros(1, np.int64)
-    text = np.frombuffer(whole, np.uint8)
+    group = np.cumsum(np.r_[False, h[left][1:] != h[left][:-1]])
+    left = left[np.bincount(group)[group] > 1]
+    if not len(left):
+        return
+    edge = np.flatnonzero(np.r_[True, h[left][1:] != h[left][:-1], True])
+    windows = np.r_[0, np.cumsum(count[left])]
     lo = 0
-    windows = np.r_[0, np.cumsum(count[left].astype(np.int64))]
     while lo < len(edge) - 1:  # whole groups, about _SORT windows at a time
         hi = max(lo + 1, int(np.searchsorted(windows[edge], windows[edge[lo]] + _SORT, "right")) - 1)
         some = left[edge[lo] : edge[hi]]
-        c = count[some].astype(np.int64)
+        size = np.array([len(text[i]) for i in some.tolist()])
+        c = count[some]
         who = np.repeat(np.arange(len(some)), c)
         nth = np.arange(len(who)) - np.repeat(np.cumsum(c) - c, c)
-        view = np.lib.stride_tricks.sliding_window_view(text, length)
-        place = at[some][who] + nth
-        if len(who) <= 2 * _SORT:
-            gone = np.flatnonzero(previous_factors(view[place]) >= length)
-        else:
-            # one very common anchor: equal windows have it at the same distance, so distances are looked at apart
-            far = lead[some][who].astype(np.int64) - nth
-            parts_ = [np.flatnonzero(far == d) for d in np.unique(far).tolist()]
-            gone = np.sort(np.concatenate([p[previous_factors(view[place[p]]) >= length] for p in parts_]))
+        raw = np.frombuffer(b"".join([text[i] for i in some.tolist()]), np.uint8)
+        gone = _equal_before(np.lib.stride_tricks.sliding_window_view(raw, length)[(np.cumsum(size) - size)[who] + nth], length)
         if len(gone):
-            cut = np.r_[True, (who[gone][1:] != who[gone][:-1]) | (np.diff(gone) != 1)]
-            head = gone[cut]
-            n = np.diff(np.r_[np.flatnonzero(cut), len(gone)])
-            i = some[who[head]]
-            out.append((ids[i], keys[i], start[i] + nth[head], n))
+            cut = np.flatnonzero(np.r_[True, (who[gone][1:] != who[gone][:-1]) | (np.diff(gone) != 1), True])
+            head = gone[cut[:-1]]
+            yield order[some[who[head]]], nth[head], np.diff(cut)
         lo = hi
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
-
 
-def _factor(length: int, buckets: int):
-    """Rows come sorted by shard; a shard is held at a time."""
 
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        out = _shard(held, length)
-        return replies.packed(*out, buckets, by=out[0] ^ out[1])  # many texts may have one id, or none
+def removed(start: np.ndarray, count: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which of `size` units the given runs of windows cover."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + count - 1 + length, -1)
+    return np.cumsum(edge)[:-1] > 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            for shard, h, ids, keys, start, count, lead, text in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if shard != at and held:
-                    yield packed(held)
-                    held = []
-                at = shard
-                held.append((np.frombuffer(h, np.uint64), sketch.unpack(ids, np.int64), sketch.unpack(keys, np.int64), sketch.unpack(start, np.int64), np.frombuffer(count, np.uint8), np.frombuffer(lead, np.uint8), sketch.unpack(text, np.uint8).tobytes()))
-        if held:
-            yield packed(held)
 
-    return run
+class Bytes(repeats.Kind):
+    schema = "n_bytes long, n_removed long, n_spans long, kept binary"
+    within = True
 
+    def __init__(self, length: int, anchor: int):
+        self.length, self.anchor = length, anchor
 
-class _Hashes:
-    def __init__(self, length: int, k: int):
-        self.length, self.k = length, k
+    def cut(self, text: str | None) -> bytes:
+        return (text or "").encode("utf-8", "surrogatepass")
 
-    def __call__(self, texts: list) -> np.ndarray:
-        return np.concatenate([runs((t or "").encode("utf-8", "surrogatepass"), self.length, self.k)[0] for t in texts] or [np.zeros(0, np.uint64)])
+    def runs(self, cut: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return runs(cut, self.length, self.anchor)
 
+    def stretch(self, cut: bytes, start: int, count: int) -> bytes:
+        return cut[start : start + count + self.length - 1]
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, anchor: int = 40) -> DataFrame:
-    """(id, key, pairs), id being _LAST where it's null: pairs of int64, packed, the first window and how many, that also start earlier.
+    def judge(self, rows: repeats.Stretches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return judge(rows, self.length)
 
-    key is the text's hash, which tells rows apart that share an id.
-    """
-    if not 0 < anchor <= length <= 255 + anchor:
-        raise ValueError("the anchor must fit in the length, and a run's windows in a byte")
-    spark = df.sparkSession
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = partitions(spark, size)
-    anchors = 2 * size / (length - anchor + 2)
-    shards, buckets = max(parts, int(size // 16_000_000)), max(parts, int(size // 3_000_000))
-    shared = spark.sparkContext.broadcast(sketch.build(df.select(text_col), _Hashes(length, anchor), sketch.bits_for(anchors)))
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
-    found = rows.mapInArrow(tidy(_emit(shared, length, anchor, shards)), "shard int, h binary, ids binary, keys binary, start binary, count binary, lead binary, text binary")
-    gone = found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_factor(length, buckets)), replies.SCHEMA)
-    return replies.gathered(gone, parts)
-
-
-def removed(pairs: bytes, size: int, length: int) -> np.ndarray:
-    """Which of `size` bytes are removed."""
-    edge = np.zeros(size + 1, np.int64)
-    start, n = np.frombuffer(pairs, np.int64).reshape(-1, 2).T
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + n - 1 + length, -1)
-    return np.cumsum(edge)[:-1] > 0
+    def report(self, cut: bytes, start: np.ndarray, count: np.ndarray) -> tuple[int, int, int, bytes]:
+        if not len(start):
+            return len(cut), 0, 0, cut
+        gone = removed(start, count, len(cut), self.length)
+        return len(cut), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(cut, np.uint8)[~gone].tobytes()
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, anchor: int = 40) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the bytes that stay) of every document."""
-    gone = repeated_spans(df, id_col, text_col, length, anchor)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__key", F.xxhash64(F.coalesce("__text", F.lit(""))))
-    both = rows.join(gone, (F.coalesce(F.col("__id").cast("long"), F.lit(_LAST)) == F.col("id")) & (F.col("__key") == F.col("key")), "left").select(F.col("__id").alias("id"), F.col("__text").alias("text"), "pairs")
-
-    def run(cols: dict) -> list:
-        size, off, n, kept = [], [], [], []
-        for text, pairs in zip(cols["text"], cols["pairs"]):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            size.append(len(raw))
-            if not pairs:
-                off.append(0)
-                n.append(0)
-                kept.append(raw)
-                continue
-            gone = removed(pairs, len(raw), length)
-            off.append(int(gone.sum()))
-            n.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-        return [cols["id"], size, off, n, kept]
-
-    return map_rows(both, run, f"`{id_col}` {dict(both.dtypes)['id']}, n_bytes long, n_removed long, n_spans long, kept binary")
+    if not 0 < anchor <= length <= 254 + anchor:
+        raise ValueError("the anchor must fit in the length, and a run's windows in a byte")
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    return repeats.remove(df, Bytes(length, anchor), id_col, text_col, number, size, 2 * size / (length - anchor + 2))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
