@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -194,6 +195,34 @@ def test_frame_is_pfair(share):
     assert got == Counter(share)
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 0.99995, "b": 0.00005}, {"a": 1 / 3, "b": 2 / 3}, {"a": Fraction(1, 3), "b": Fraction(1, 7), "c": Fraction(11, 21)}, {"a": 0.123456789, "b": 0.876543211}, {"a": 3, "b": "0.1"}],
+)
+def test_given_weights_are_kept_exactly(weights):
+    """At every slot of many frames each source is within one block of the weight as it was given."""
+    share = mixing.shares(dict.fromkeys(weights, 1), weights)
+    total, size, got = sum(Fraction(str(w)) for w in weights.values()), sum(share.values()), Counter()
+    assert {s: Fraction(q, size) for s, q in share.items()} == {s: Fraction(str(w)) / total for s, w in weights.items()}
+    assert Fraction(share["a"], size) == Fraction(str(weights["a"])) / total
+    order = [s for s, *_ in mixing.frame(share, 50_000)]
+    for t in range(60_000 if size <= 50_000 else 50_000):
+        got[order[t % size]] += 1
+        if t % 7 == 0 or t < 1000:
+            assert all(abs(got[s] - Fraction(q, size) * (t + 1)) < 1 for s, q in share.items())
+
+
+def test_mixing_refuses_what_it_cannot_keep(spark, odd):
+    every = {"a": 1, "b": 1, "c": 1, None: 1}
+    for wrong in ({**every, "a": 0}, {**every, "b": -1}, {"a": 1}):
+        with pytest.raises(ValueError):
+            mixing.mix(odd, weights=wrong)
+    with pytest.raises(ValueError):
+        mixing.mix(odd, weights={**every, "a": 0.0001}, block=1, max_slots=50)
+    # a frame of very many slots, of which few are needed
+    assert mixing.mix(odd, weights={**every, "a": 1.123456789, "z": 5}, block=1).count() == odd.count()
+
+
 def test_mixing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = mixing.mix(docs, block=3, bucket_rows=4).collect()

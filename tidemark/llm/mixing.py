@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-A source's documents form blocks. Source s with q_s of a frame's Q slots has the weight w = q_s / Q; its j-th block
+A source's documents form blocks. Weights are exact fractions: those given (a float counts as the decimal it is written
+as), or whole shares of `slots` in proportion to count ** temperature. Over their common denominator Q, source s has
+q_s of a frame's Q slots, w = q_s / Q; its j-th block
 is released at floor((j - 1) / w) and due at ceil(j / w), and of the released blocks the one due first takes the
 next slot. On one processor this keeps every source within less than one block of its target, w * slot, at every
-slot, and a frame ends with each source having had exactly q_s slots. So one frame, whose size is a parameter, holds
-the whole schedule: block b of a source goes to frame (b - 1) div q_s, at that source's ((b - 1) mod q_s + 1)-th
+slot, and a frame ends with each source having had exactly q_s slots. So one frame holds the whole schedule, and no
+more of it is made than the documents need; a schedule of over `max_slots` slots is refused, not rounded: block b of a source goes to frame (b - 1) div q_s, at that source's ((b - 1) mod q_s + 1)-th
 place of the frame. Positions of documents need no global order and no sequential pass over them.
 
 Ranks within a source come from counts over hash buckets, so a source that holds a third of all rows is spread over
@@ -13,7 +15,8 @@ as many buckets as its rows need, not put in one task.
 Every document is placed exactly once. As long as all sources last (in_horizon) the targets are met; later frames
 hold only those that are left, in proportion to their weights.
 
-Defined results: null is a source of its own; ties of deadlines go to the larger weight, then the lower name; rows
+Defined results: null is a source of its own; a weight that is missing, zero or negative is refused, and weights of
+sources without documents don't count; ties of deadlines go to the larger weight, then the lower name; rows
 that repeat an id, or have none, are placed one after the other (where whole rows are placed, by a hash of them); an
 empty table gives an empty table; null and empty texts are placed like others; other columns don't take part.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -51,17 +55,22 @@ FROM pl JOIN fr ON fr.source IS NOT DISTINCT FROM pl.source AND fr.nth = pl.nth,
 """
 
 
-def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, slots: int = 1000) -> dict[str | None, int]:
-    """Slots of a frame for each source: its given weight, or count ** temperature, to the nearest 1 / slots; 1 at least."""
-    raw = {s: float(weights.get(s, 0.0)) if weights is not None else n**temperature for s, n in counts.items()}
-    if any(x < 0 for x in raw.values()):
-        raise ValueError("a weight is negative")
-    total = sum(raw.values()) or 1.0
-    return {s: max(1, round(slots * x / total)) for s, x in raw.items()}
+def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float | int | str | Fraction] | None = None, temperature: float = 0.5, slots: int = 1000) -> dict[str | None, int]:
+    """Whole slots of a frame for each source: its given weight exactly, or count ** temperature to the nearest 1 / slots, 1 at least."""
+    if weights is None:
+        raw = {s: n**temperature for s, n in counts.items()}
+        total = sum(raw.values()) or 1.0
+        return {s: max(1, round(slots * x / total)) for s, x in raw.items()}
+    if none := [s for s in counts if not Fraction(str(weights.get(s, 0))) > 0]:
+        raise ValueError(f"a weight above zero is needed for each source: {none}")
+    given = {s: Fraction(str(weights[s])) for s in counts}
+    total = sum(given.values())
+    size = math.lcm(*[(w / total).denominator for w in given.values()])
+    return {s: int(w / total * size) for s, w in given.items()}
 
 
-def frame(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, place, slot, release, deadline) of each slot of one frame, by earliest deadline among the released."""
+def frame(share: Mapping[str | None, int], most: int | None = None) -> list[tuple[str | None, int, int, int, int]]:
+    """(source, place, slot, release, deadline) of each slot of one frame, or its first ones, by earliest deadline among the released."""
     size, out = sum(share.values()), []
     name = {s: (s is not None, s or "") for s in share}
     entry = lambda s, j: (-(-j * size // share[s]), Fraction(-share[s], size), name[s], s, j)
@@ -69,7 +78,7 @@ def frame(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int, i
     wait = [(0, name[s], s, 1) for s in share]
     heapq.heapify(wait)
     due: list = []
-    for slot in range(size):
+    for slot in range(size if most is None else min(size, most)):
         while wait and wait[0][0] <= slot:
             _, _, s, j = heapq.heappop(wait)
             heapq.heappush(due, entry(s, j))
@@ -88,8 +97,8 @@ def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def _placed(
-    df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5,
-    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000, whole: bool = False,
+    df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float | int | str | Fraction] | None = None, temperature: float = 0.5,
+    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000, max_slots: int = 100_000, whole: bool = False,
 ) -> DataFrame:
     """id, source and place of every row; whole: also row, a struct of all its columns, and ties of ids go by its hash."""
     row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if whole else []
@@ -101,10 +110,14 @@ def _placed(
     share = shares(counts, weights, temperature, max(slots, len(counts)))
     size = sum(share.values())
     blocks = {s: -(-n // block) for s, n in counts.items()}
-    slots_of = frame(share)
+    # by then all blocks are due, and one more of the source that is done first
+    need = min(size, max((-(-blocks[s] * size // share[s]) for s in share), default=0) + 1)
+    if need > max_slots:
+        raise ValueError(f"{need} slots are over {max_slots}: give weights of fewer digits, or larger blocks")
+    slots_of = frame(share, need)
     at = {(s, j): slot for s, j, slot, _, _ in slots_of}
     # the first slot at which some source has no block left
-    last = min(((blocks[s] // share[s]) * size + at[s, blocks[s] % share[s] + 1] for s in share), default=0)
+    last = min(((blocks[s] // share[s]) * size + at.get((s, blocks[s] % share[s] + 1), need) for s in share), default=0)
     quota = _literal(spark, [(s, share[s], max(1, -(-n // bucket_rows))) for s, n in counts.items()], "s1 string, quota long, buckets long")
     key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
     rows = rows.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("s1"))).withColumn("key", key)
@@ -128,15 +141,16 @@ def _placed(
 
 
 def mix(
-    df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5,
-    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000,
+    df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: Mapping[str | None, float | int | str | Fraction] | None = None, temperature: float = 0.5,
+    slots: int = 1000, block: int = 8, seed: int = 0, bucket_rows: int = 1_000, max_sources: int = 10_000, max_slots: int = 100_000,
 ) -> DataFrame:
     """One row per row of df: id, source, rank (in its source, from 1), block, slot, release, deadline, in_horizon.
 
-    weights: by source, or count ** temperature. block: documents in a block. The counts by source are read to the
-    driver, max_sources at most; more are refused, not cut.
+    weights: by source, above zero for each, kept exactly; or count ** temperature in whole shares of `slots`. block:
+    documents in a block. The counts by source are read to the driver, max_sources at most; more are refused, not cut,
+    as are weights whose schedule is longer than max_slots.
     """
-    placed = _placed(df, source_col, id_col, weights, temperature, slots, block, seed, bucket_rows, max_sources)
+    placed = _placed(df, source_col, id_col, weights, temperature, slots, block, seed, bucket_rows, max_sources, max_slots)
     return placed.withColumnsRenamed({"id": id_col, "source": source_col})
 
 
