@@ -13,7 +13,8 @@ if they share a bit. A shard gives back a spanning forest of its links, never al
 
 Defined results: a null or empty text has no words and fingerprint zero, which links like any other; ties of bits
 count as 0 (over half is asked for); rows that repeat an id are listed as often as they come, and of those that
-repeat an id and a text one stays; a null id comes after all others; an empty table gives an empty table.
+repeat an id and a text one stays, the one with the largest hash of all its columns (maps left out); a null id comes
+after all others; an empty table gives an empty table; other columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, partitions, table, tidy
+from .common import apart, checkpoint, map_rows, partitions, table, tidy, together
 from .graph import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -193,9 +194,10 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: the one with the smallest id of each group."""
-    first = _grouped(df, id_col, text_col).select("low.id", "low.h").distinct().toDF("__stay", "__stay_h")
-    stay = df.join(first, F.col(id_col).eqNullSafe(F.col("__stay")) & (_text_hash(text_col) == F.col("__stay_h")), "left_semi")
-    return stay.dropDuplicates([id_col, text_col])
+    first = _grouped(df, id_col, text_col).select(F.col("low.id").alias("stay"), F.col("low.h").alias("h")).distinct()
+    rows = apart(df, id_col, text_col).withColumn("h", _text_hash("text"))
+    stay = rows.join(first, rows["id"].eqNullSafe(first["stay"]) & (rows["h"] == first["h"]), "left_semi")
+    return together(stay.groupBy("id", "text").agg(F.max_by("row", "rank").alias("row")), df, text_col)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
