@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import zlib
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, html, langid, mixing, quality
@@ -93,6 +94,63 @@ def test_open_head_and_self_closed_svg(page, want):
     assert html.main_text(page) == want
 
 
+PROSE = "Long prose sentence here, with words. " * 6
+LONG = PROSE.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>We see <a href="/hidden-costs">costs rise</a> and <a href="/p?id=reply">more</a> here.</p></article>', "We see costs rise and more here."),
+        ('<article><p title="the hidden cost of x">One paragraph.</p><p data-id="share">Two paragraphs.</p></article>', "One paragraph.\nTwo paragraphs."),
+        ('<article class="post category-social tag-popular"><p>The body.</p></article>', "The body."),
+        (f'<div class="layout has-sidebar"><div class="content"><p>{PROSE}</p><p>Short.</p></div><div class="sidebar"><p>Read also the others.</p></div></div>', f"{LONG}\nShort."),
+        (f'<form action="/"><div id="nav"><a href=1>a</a></div><div class="content"><p>{PROSE}</p><p>Second one.</p></div></form>', f"{LONG}\nSecond one."),
+        (f'<svg class="i"><path d="x"><article><p>{PROSE}</p></article>', LONG),
+        (f"<video src=x><article><p>{PROSE}</p></article>", LONG),
+        ('<article><p class=foo">Text.</p></article>', "Text."),
+        ('<article><p class="foo>Text.</p><p>b</p></article>', "Text.\nb"),
+        ("<article><p><a href=/x/>link</a> and text.</p></article>", "link and text."),
+        (f'<article><p>{PROSE}</p><p class="ad">Buy now, it is cheap today.</p><p>{PROSE}</p></article>', f"{LONG}\n{LONG}"),
+        (
+            f'<div><div class="site-header"><h1>The Site</h1><p>News of all kinds, each day.</p></div><p>{PROSE}</p><p>{PROSE}</p><div class="related-stories"><p>Related: read how the others did it, at some length here.</p></div>'
+            '<div id="comments"><p>I think that this is right, and will say so at length for all to see.</p></div></div>',
+            f"{LONG}\n{LONG}",
+        ),
+    ],
+)
+def test_attributes_and_wrappers(page, want):
+    assert html.main_text(page) == want
+
+
+def test_the_cut_overrules_a_class_word():
+    """The block's own capacity is to boilerplate; that of its neighbours and the edges to them weigh more."""
+    page = f'<article><p>{PROSE}</p><p class="share-price">The price of a share fell.</p><p>{PROSE}</p></article>'
+    found = html.Page(page)
+    assert found.terminals(html.PRIOR)[1] < 0
+    assert html.main_text(page) == f"{LONG}\nThe price of a share fell.\n{LONG}"
+
+
+def test_deep_pages_take_linear_time():
+    n = 100_000
+    assert html.main_text("<article>" + "<i><b>x" * n) == "x" * n
+    assert html.main_text("<article>" + "<b>" * n + "<p>x y z</p>" * n).count("\n") == n - 1
+    assert html.main_text("<article>" + "<div>x" * n).count("\n") == n - 1
+
+
+def test_fitted_weights(spark):
+    """Without marked blocks the weights are the prior; with them they fit better than it, in any order of the rows."""
+    rows = [(i, f"<nav><a href=x>Go to {i}</a></nav><article><h1>Title {i}</h1><p>{PROSE}</p></article><footer>Imprint {i}</footer>") for i in range(30)] + [(99, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    w = html.fit(df)
+    assert w == html.fit(df.orderBy(F.desc("page_id"))) == html.fit(df.repartition(5)) != html.PRIOR
+    x = np.concatenate([html.Page(h).features() for _, h in rows if h])
+    y = np.array([v for _, h in rows if h for v in html.Page(h).marked()])
+    loss = lambda w: np.mean(np.log1p(np.exp(-np.where(y == 1, 1, -1) * (x @ np.array(w)))))
+    assert loss(w) < loss(html.PRIOR)
+    assert html.fit(df.where("page_id = 99")) == html.fit(df.limit(0)) == html.PRIOR
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
