@@ -45,6 +45,19 @@ def test_bpe_memo_is_bounded(reference, monkeypatch):
         check_bpe(reference, [t])
 
 
+def test_bpe_long_pieces(reference, monkeypatch):
+    """Trees on lists and trees in step give the same ids; a piece of hundreds of thousands of letters takes seconds."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (1, 2, 3, 50, 700, 5000)] + ["ab" * 900, "a" * 4000, "é" * 777]
+    ours = bpe.load(bpe.default_vocabulary())
+    assert [ours.merge([w.encode()])[0] for w in words] == [ours.merge_one(w.encode()) for w in words]
+    check_bpe(reference, ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "-" * 300_000])
+    assert max(map(len, ours.memo)) <= bpe.LONG
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 40)
+    for t in ("one two three four five six seven", "eight nine one two ten eleven twelve", "seven one"):
+        check_bpe(reference, [t])
+
+
 def test_bpe_queries(spark, odd, nothing, reference):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(odd).collect()}
     want = set()
@@ -200,6 +213,20 @@ def test_language_odd(spark, odd, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+@pytest.mark.parametrize(("text", "letters"), [("½ ² ¼", False), ("Ⅷ ①", False), ("12 _ !", False), ("3 ª", True), ("日本", True), ("x", True), (None, False), ("", False)])
+def test_letters(text, letters):
+    assert langid.has_letters(text) == letters == (langid.presence(text) is not None)
+
+
+def test_language_sample_is_bounded(spark):
+    """Texts over train_chars aren't learned from; all are scored."""
+    rows = [(i, "the cat sat on the mat " * 3, "en") for i in range(20)] + [(100 + i, "el gato en la casa " * 3, "es") for i in range(20)] + [(200 + i, "der hund " * 4000, "de") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == ["en", "es"] and langid.fit(df, train_chars=100_000).langs == ["de", "en", "es"]
+    assert {r.lang_pred for r in langid.identify(df, model).collect()} == {"en", "es"}
+
+
 def test_kernel_is_a_product():
     a, b = (langid.presence(t) for t in ("the cat sat", "the dog sat on"))
     bins = np.flatnonzero((a | b).reshape(-1))

@@ -8,7 +8,7 @@ operations per level, and a piece is encoded once per worker as long as the boun
 The vocabulary file is the one of the tokenizers library; its special token, found anywhere in a text, is one id.
 
 Defined results: a null or empty text has no tokens; any string decodes to itself; a very long piece (one run of
-letters, say) is one tree whose work grows as n log n; ids that aren't in the vocabulary can't be decoded and raise
+letters, say) is one tree whose work grows as n log n, some microseconds a merge; ids that aren't in the vocabulary can't be decoded and raise
 KeyError; other columns don't take part.
 """
 
@@ -28,8 +28,10 @@ from .common import map_rows, table
 
 #: Fixed: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers in each of two generations.
-MEMO = 300_000
+#: Pieces that a worker remembers in each of two generations, and characters of these; longer pieces aren't remembered.
+MEMO, MEMO_CHARS, LONG = 300_000, 8_000_000, 1_000
+#: Fewer trees than this run one by one.
+FEW = 48
 _NONE = np.int64(1) << 60
 
 
@@ -66,10 +68,12 @@ class Bpe:
         order = np.argsort(key)
         self.key, self.rank = np.append(key[order], _NONE), np.append(order, -1).astype(np.int64)
         self.made = np.array([ids[a + b] for a, b in merges] + [0])
+        self.rank_of = dict(zip(key.tolist(), range(len(merges))))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.memo: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where it can't merge; -1 stands for no token."""
@@ -123,6 +127,43 @@ class Bpe:
                     tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
         return [tuple(t[t >= 0].tolist()) for t in tok]
 
+    def merge_one(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one piece, of any length."""
+        n, size, base, ranks, made = len(word), 2, self.base, self.rank_of, self.made.tolist() if len(word) > LONG else self.made
+        while size < n:
+            size *= 2
+        none = 1 << 60
+        tok = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * size)
+        for i in range(n - 1):
+            r = ranks.get(tok[i] * base + tok[i + 1])
+            if r is not None:
+                tree[size + i] = r * size + i
+        for k in range(size - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
+        while (root := tree[1]) < none:
+            pos, gone = root % size, nxt[root % size]
+            new, after, before = int(made[root // size]), nxt[gone], prv[pos]
+            tok[pos], tok[gone], nxt[pos] = new, -1, after
+            r = None
+            if after < n:
+                prv[after] = pos
+                r = ranks.get(new * base + tok[after])
+            leaves = [(gone, none), (pos, none if r is None else r * size + pos)]
+            if before >= 0:
+                r = ranks.get(tok[before] * base + new)
+                leaves.append((before, none if r is None else r * size + before))
+            for k, value in leaves:
+                k += size
+                while k and tree[k] != value:
+                    tree[k] = value
+                    a, b = tree[k], tree[k ^ 1]
+                    value = a if a < b else b
+                    k >>= 1
+        return tuple(t for t in tok if t >= 0)
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Puts the ids of pieces into the memo, in groups of like length so that padding stays small."""
         groups: dict[int, list[str]] = {}
@@ -132,7 +173,9 @@ class Bpe:
             step = max(1, (1 << 18) >> bits)
             for i in range(0, len(group), step):
                 some = group[i : i + step]
-                self.memo.update(zip(some, self.merge([p.encode("utf-8") for p in some])))
+                words = [p.encode("utf-8") for p in some]
+                self.memo.update(zip(some, self.merge(words) if len(some) >= FEW else map(self.merge_one, words)))
+                self.chars += sum(map(len, some))
 
     def split(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -147,14 +190,21 @@ class Bpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.split(t or "") for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
             # pieces in use are carried over from the generation before; the rest goes with the next one
-            self.memo, self.older = {s: (i,) for s, i in self.special.items()}, self.memo
+            self.memo, self.older, self.chars = {s: (i,) for s, i in self.special.items()}, self.memo, 0
         memo, older = self.memo, self.older
         missing = {p for c in cut for p in c}.difference(memo)
-        memo.update((p, older[p]) for p in missing.intersection(older))
+        carried = missing.intersection(older)
+        memo.update((p, older[p]) for p in carried)
+        self.chars += sum(map(len, carried))
         self.learn(missing.difference(older))
-        return [[i for p in c for i in memo[p]] for c in cut]
+        out = [[i for p in c for i in memo[p]] for c in cut]
+        for p in missing:
+            if len(p) > LONG:
+                del memo[p]
+                self.chars -= len(p)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

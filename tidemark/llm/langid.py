@@ -6,8 +6,10 @@ number from each language, turn the kernel into features, and one ridge regressi
 fitted on them. A text's kernel with the landmarks, times the fitted matrix, is one product per batch; as the
 kernel is linear in presence, landmarks and weights are multiplied once into a matrix of n-grams by languages.
 
-Letters count in lower case; all else is a space. N-grams are hashed into 2**16 bins for each n. Training uses
-a sample of `per_lang` texts of each language, chosen by a hash of the id: a documented bound on a classifier's fit.
+Letters (of Unicode's letter categories; a number sign isn't one) count in lower case; all else is a space. N-grams are hashed into 2**16 bins for each n. Training uses
+a sample of `per_lang` texts of each language, of up to `train_chars` characters, chosen by a hash of the id:
+documented bounds on a classifier's fit, and on what the driver holds. A language is learned from its texts of that
+length or not at all; over `max_langs` languages are refused.
 Texts that are scored are read whole.
 
 Defined results: a null, empty or letterless text is `und` with score 0; ties go to the language first in order;
@@ -16,18 +18,18 @@ with no labelled rows every text is `und`; rows that repeat an id are scored eac
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, release, table, tidy
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}]+")
 BITS, ORDERS = 16, (1, 2, 3)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -109,9 +111,9 @@ def part(id_col: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, max_langs: int = 500) -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, max_langs: int = 500, train_chars: int = 20_000) -> Model:
     """Learns from rows whose crc32(id as text) mod 5 isn't 0, from about `per_lang` of each language."""
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (part(id_col, 5) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= train_chars) & (part(id_col, 5) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
