@@ -365,15 +365,47 @@ def check_embeddings(df, **how):
     assert sorted(map(tuple, embedding.near_duplicates(df, **how).collect())) == want
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 15])
-def test_embeddings(spark, cell_rows):
+@pytest.mark.parametrize("chunk_rows", [2048, 15])
+def test_embeddings(spark, chunk_rows):
     rng = np.random.default_rng(1)
     centre = rng.standard_normal((4, 10))
     rows = [(i, [float(x) for x in centre[i % 4] + 0.3 * rng.standard_normal(10)], i % 2) for i in range(160)]
     first = rows[0][1]
     rows += [(1000, None, 1), (1001, [0.0] * 10, 1), (1002, [float("nan")] * 10, 1), (1003, [1.0, None] + [0.0] * 8, 1), (1004, first, 0), (1005, first, None), (1006, [2 * x for x in first], 0), (1007, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (1009, [], 1), (1010, [float("inf")] * 10, 0), (1011, [-0.0, 1.0], 0), (1012, [0.0, 1.0], 0)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<float>, label int, rep string, weight string")
-    check_embeddings(df, cell_rows=cell_rows)
+    check_embeddings(df, chunk_rows=chunk_rows)
+    with pytest.raises(ValueError):
+        embedding.near_duplicates(df, threshold=1.0)
+
+
+@pytest.mark.parametrize("tile", [256, 7])
+def test_range_join_finds_every_pair(monkeypatch, tile):
+    """Each pair over the threshold comes once, of one set or between two; of random pairs few are left to verify."""
+    monkeypatch.setattr(embedding, "_TILE", tile)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((700, 64))
+    x[350:] = x[:350] + rng.uniform(0, 0.06, (350, 1)) * rng.standard_normal((350, 64)) * 8
+    x = embedding.units(x)
+    turned = x @ embedding.rotation(64)
+    cos = x @ x.T
+    for right in (None, turned[300:]):
+        pairs = [(int(i), int(j)) for a, b in embedding.candidates(turned if right is None else turned[:300], right, 0.93, 8) for i, j in zip(a, b + (0 if right is None else 300))]
+        pairs = [tuple(sorted(p)) for p in pairs]
+        assert len(pairs) == len(set(pairs))
+        want = {(i, j) for i in range(700) for j in range(i + 1, 700) if cos[i, j] >= 0.93 and (right is None or i < 300 <= j)}
+        assert want and want <= set(pairs)
+    free = embedding.units(rng.standard_normal((1500, 64))) @ embedding.rotation(64)
+    left = sum(len(a) for a, _ in embedding.candidates(free, None, 0.93, 8))
+    assert left < 0.01 * 1500 * 1499 / 2
+
+
+def test_boxes_prune_where_vectors_lie_in_clusters(monkeypatch):
+    """Tile pairs of far clusters aren't multiplied."""
+    monkeypatch.setattr(embedding, "_TILE", 50)
+    rng = np.random.default_rng(4)
+    x = embedding.units(np.repeat(rng.standard_normal((20, 64)), 50, axis=0) + 0.01 * rng.standard_normal((1000, 64))) @ embedding.rotation(64)
+    met = sum(len(a) for a, _ in embedding.candidates(x, None, 0.93, 8))
+    assert met <= 1.1 * 20 * 50 * 49 / 2
 
 
 def test_embeddings_empty(spark):
