@@ -18,6 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -29,9 +30,9 @@ from .common import map_rows, table
 #: Fixed: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers in each of two generations, and characters of these; longer pieces aren't remembered.
-MEMO, MEMO_CHARS, LONG = 300_000, 8_000_000, 1_000
-#: Fewer trees than this run one by one.
-FEW = 48
+MEMO, MEMO_CHARS, LONG = 400_000, 8_000_000, 1_000
+#: Fewer trees than this run one by one; and leaves of the trees that run in step.
+FEW, STEP = 48, 1 << 17
 _NONE = np.int64(1) << 60
 
 
@@ -65,67 +66,98 @@ class Bpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right = np.array([ids[a] for a, _ in merges]), np.array([ids[b] for _, b in merges])
         key = left * self.base + right
-        order = np.argsort(key)
-        self.key, self.rank = np.append(key[order], _NONE), np.append(order, -1).astype(np.int64)
+        # pairs by a hash, open to the next place; and by the bytes themselves, for pairs that haven't merged yet
+        self.bits = max(4, 2 + len(key).bit_length())
+        self.key, self.rank = np.full(1 << self.bits, -1), np.full(1 << self.bits, _NONE)
+        for k, r in zip(key.tolist(), range(len(key))):
+            at = self._place(k)
+            while self.key[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.key[at], self.rank[at] = k, r
         self.made = np.array([ids[a + b] for a, b in merges] + [0])
         self.rank_of = dict(zip(key.tolist(), range(len(merges))))
+        one = self.byte_id[:, None] * self.base + self.byte_id[None, :]
+        self.first = np.array([self.rank_of.get(k, _NONE) for k in one.ravel().tolist()])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.memo: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
         self.older: dict[str, tuple[int, ...]] = {}
         self.chars = 0
 
+    def _place(self, key):
+        return (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where it can't merge; -1 stands for no token."""
-        key = a * self.base + b
-        at = np.searchsorted(self.key, key)
-        return np.where((a >= 0) & (b >= 0) & (self.key[at] == key), self.rank[at], _NONE)
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.base + b, -2)
+        at = self._place(key)
+        found = self.key[at]
+        out = np.where(found == key, self.rank[at], _NONE)
+        left = np.flatnonzero((found >= 0) & (found != key) & (key >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.key[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.rank[at[left[hit]]]
+            left = left[(found >= 0) & ~hit]
+        return out
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece; pieces share the padded length of the longest."""
         n, size = len(words), 2
-        longest = max(map(len, words))
-        while size < longest:
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        while size < lengths.max():
             size *= 2
-        raw = np.full((n, size), -1, np.int64)
-        for i, w in enumerate(words):
-            raw[i, : len(w)] = self.byte_id[np.frombuffer(w, np.uint8)]
-        tok = raw
-        nxt = np.tile(np.arange(1, size + 1), (n, 1))
-        prv = np.tile(np.arange(-1, size - 1), (n, 1))
+        kind = np.int32 if size * (len(self.made) + 1) < 1 << 31 else np.int64
+        none = np.iinfo(kind).max
+        inside = np.arange(size) < lengths[:, None]
+        raw = np.zeros((n, size), np.int64)
+        raw[inside] = np.frombuffer(b"".join(words), np.uint8)
+        tok = np.where(inside, self.byte_id[raw], -1).astype(kind)
         rows = np.arange(n)
-        # leaves hold rank * size + position, so that the root is the lowest rank, leftmost of equal ones
-        tree = np.full((n, 2 * size), _NONE, np.int64)
-        rank = self._ranks(tok[:, :-1].ravel(), tok[:, 1:].ravel()).reshape(n, size - 1)
-        tree[:, size : 2 * size - 1] = np.where(rank < _NONE, rank * size + np.arange(size - 1), _NONE)
+        # flat arrays, a row of each for a piece; leaves hold rank * size + position, so that the root is the lowest
+        # rank, leftmost of equal ones
+        tree = np.full((n, 2 * size), none, kind)
+        rank = np.where(inside[:, 1:], self.first[raw[:, :-1] * 256 + raw[:, 1:]], _NONE)
+        tree[:, size : 2 * size - 1] = np.where(rank < _NONE, rank * size + np.arange(size - 1), none)
         for k in range(size - 1, 0, -1):
             np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+        nxt = np.tile(np.arange(1, size + 1, dtype=kind), (n, 1)).ravel()
+        prv = np.tile(np.arange(-1, size - 1, dtype=kind), (n, 1)).ravel()
+        tree, flat = tree.ravel(), tok.ravel()
+
+        def update(leaf: np.ndarray, value: np.ndarray, base: np.ndarray) -> None:
+            k = leaf + size
+            tree[base + k] = value
+            for _ in range(size.bit_length() - 1):
+                k = k >> 1
+                tree[base + k] = np.minimum(tree[base + 2 * k], tree[base + 2 * k + 1])
+
         while True:
-            root = tree[rows, 1]
-            rows = rows[root < _NONE]
+            root = tree[rows * (2 * size) + 1]
+            live = root < none
+            rows, root = rows[live], root[live].astype(np.int64)
             if not len(rows):
                 break
-            root = root[root < _NONE]
+            row, base = rows * size, rows * (2 * size)
             pos, new = root % size, self.made[root // size]
-            gone = nxt[rows, pos]
-            after = nxt[rows, gone]
-            tok[rows, pos] = new
-            tok[rows, gone] = -1
-            nxt[rows, pos] = after
-            inside = after < size
-            prv[rows[inside], after[inside]] = pos[inside]
-            before = prv[rows, pos]
-            right = np.where(inside, tok[rows, np.minimum(after, size - 1)], -1)
-            left = np.where(before >= 0, tok[rows, np.maximum(before, 0)], -1)
-            r_new, l_new = self._ranks(new, right), self._ranks(left, new)
-            none = np.full(len(rows), _NONE)
-            for leaf, value in ((gone, none), (pos, np.where(r_new < _NONE, r_new * size + pos, _NONE)), (np.where(before >= 0, before, gone), np.where(l_new < _NONE, l_new * size + before, _NONE))):
-                k = leaf + size
-                tree[rows, k] = value
-                while k[0] > 1:
-                    k = k >> 1
-                    tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
-        return [tuple(t[t >= 0].tolist()) for t in tok]
+            gone = nxt[row + pos].astype(np.int64)
+            after = nxt[row + gone].astype(np.int64)
+            before = prv[row + pos].astype(np.int64)
+            flat[row + pos] = new
+            flat[row + gone] = -1
+            nxt[row + pos] = after
+            more = after < size
+            prv[(row + after)[more]] = pos[more]
+            right = np.where(more, flat[row + np.minimum(after, size - 1)], -1)
+            left = np.where(before >= 0, flat[row + np.maximum(before, 0)], -1)
+            r, m = self._ranks(np.concatenate([new, left]), np.concatenate([right, new])).reshape(2, -1)
+            update(gone, none, base)
+            update(pos, np.where(r < _NONE, r * size + pos, none), base)
+            update(np.where(before >= 0, before, gone), np.where(m < _NONE, m * size + before, none), base)
+        keep = tok >= 0
+        ids, ends = tok[keep].tolist(), np.cumsum(keep.sum(axis=1)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
     def merge_one(self, word: bytes) -> tuple[int, ...]:
         """Ids of one piece, of any length."""
@@ -170,7 +202,7 @@ class Bpe:
         for p in pieces:
             groups.setdefault(max(len(p.encode("utf-8")) - 1, 1).bit_length(), []).append(p)
         for bits, group in groups.items():
-            step = max(1, (1 << 18) >> bits)
+            step = max(1, STEP >> bits)
             for i in range(0, len(group), step):
                 some = group[i : i + step]
                 words = [p.encode("utf-8") for p in some]
@@ -194,17 +226,19 @@ class Bpe:
             # pieces in use are carried over from the generation before; the rest goes with the next one
             self.memo, self.older, self.chars = {s: (i,) for s, i in self.special.items()}, self.memo, 0
         memo, older = self.memo, self.older
-        missing = {p for c in cut for p in c}.difference(memo)
-        carried = missing.intersection(older)
-        memo.update((p, older[p]) for p in carried)
-        self.chars += sum(map(len, carried))
-        self.learn(missing.difference(older))
-        out = [[i for p in c for i in memo[p]] for c in cut]
-        for p in missing:
-            if len(p) > LONG:
-                del memo[p]
-                self.chars -= len(p)
-        return out
+        found = [list(map(memo.get, c)) for c in cut]
+        missing = {p for c, f in zip(cut, found) if None in f for p, ids in zip(c, f) if ids is None}
+        if missing:
+            carried = missing.intersection(older)
+            memo.update((p, older[p]) for p in carried)
+            self.chars += sum(map(len, carried))
+            self.learn(missing.difference(older))
+            found = [list(map(memo.get, c)) if None in f else f for c, f in zip(cut, found)]
+            for p in missing:
+                if len(p) > LONG:
+                    del memo[p]
+                    self.chars -= len(p)
+        return [list(chain.from_iterable(f)) for f in found]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -225,7 +259,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
     types = dict(rows.dtypes)
     schema = ", ".join([f"`{id_col}` {types['id']}, ids array<int>", *[f"`{c}` {types[n]}" for c, n in zip(keep, names)]])
-    return map_rows(rows, lambda c: [c["id"], load(path).encode_batch(c["text"]), *[c[n] for n in names]], schema, 256)
+    return map_rows(rows, lambda c: [c["id"], load(path).encode_batch(c["text"]), *[c[n] for n in names]], schema, 512)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -248,7 +282,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
             text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
         return [cols["id"], n, ids_sha, text_sha]
 
-    return map_rows(rows, run, f"`{id_col}` {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string", 256)
+    return map_rows(rows, run, f"`{id_col}` {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string", 512)
 
 
 @lru_cache(maxsize=2)
