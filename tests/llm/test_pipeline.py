@@ -66,6 +66,38 @@ def test_rows_without_an_id_or_with_a_shared_one(spark, sf, tmp_path):
     assert at == sorted(at)
 
 
+def run_stages(spark, docs, sf, folder):
+    """The rows after each stage."""
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(folder / name))
+        docs = spark.read.parquet(str(folder / name))
+        out.append(docs.collect())
+    return out
+
+
+def test_odd_documents_through_all_stages(spark, odd, sf, tmp_path):
+    """Nulls, repeated rows and ids, odd column names: rows that a stage keeps are rows of the next one."""
+    more = [(None, "the text of a row without an id, long enough to be told from the others", "en"), (None, "another text of a row that has no id, about quite other matters", "en"), (1, "a second text under the id one, on trees and rivers and hills", "en"), (1, "a second text under the id one, on trees and rivers and hills", "en")]
+    names = odd.columns[5:]
+    docs = odd.union(spark.createDataFrame([(i, t, g, "a", len(t), *names) for i, t, g in more], odd.schema))
+    lang, exact, near, mixed, tokens = run_stages(spark, docs, sf, tmp_path)
+    assert [list(r.asDict()) for r in (lang[0], exact[0], near[0], mixed[0])] == [docs.columns] * 4
+    lost = {3, 4, 9, 10}
+    assert sorted(map(str, lang)) == sorted(str(r) for r in docs.collect() if r.doc_id not in lost)
+    texts = {r.text for r in lang}
+    assert sorted(r.text for r in exact) == sorted(texts)
+    assert {(r.doc_id, r.text) for r in near} <= {(r.doc_id, r.text) for r in exact} and {m[1] for m in more} <= {r.text for r in near}
+    assert sorted(map(str, mixed)) == sorted(map(str, near))
+    reference = Tokenizer.from_file(bpe.default_vocabulary())
+    assert sorted((str(r.doc_id), str(r.source), r.ids) for r in tokens) == sorted((str(r.doc_id), str(r.source), reference.encode(r.text, add_special_tokens=False).ids) for r in mixed)
+    assert {r.n_tokens == len(r.ids) for r in tokens} == {True}
+
+
+def test_empty_table_through_all_stages(spark, nothing, sf, tmp_path):
+    assert [len(rows) for rows in run_stages(spark, nothing, sf, tmp_path)] == [0] * 5
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "source", "slot", "n_tokens", "ids"] and got.count() > 0

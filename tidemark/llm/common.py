@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import importable, table
 
-__all__ = ["apart", "checkpoint", "importable", "map_rows", "partitions", "release", "shared_folder", "table", "tidy", "together"]
+__all__ = ["apart", "checkpoint", "delete", "importable", "map_rows", "partitions", "release", "shared_folder", "table", "tidy", "together"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of ours from whatever store it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def apart(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, text, id, rank) of df's rows, so that a row can be carried beside its text as a key, whatever its columns are.
 
