@@ -14,6 +14,11 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def finite(x: Column) -> Column:
+    """NaN and the infinities are missing values."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def softmax(logs: Column) -> Column:
     """Probabilities of an array of log-probabilities; the largest is taken off first."""
     top = F.array_max(logs)

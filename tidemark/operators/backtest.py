@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clean
+from ..functions.numeric import clean, finite
 from . import calendar
 from .metrics import has_probabilities
 
@@ -50,8 +50,8 @@ def trades(predictions: DataFrame, prices: DataFrame, cfg: BacktestConfig = Back
     signal = trade_signal(p["pred_p_up"], p["pred_p_down"], p["pred_p_material"], cfg) if probs else F.lit(0)
     rows = predictions.withColumns(p | {"direction_signed": signal}).where("direction_signed <> 0")
     placed = calendar.entry_session(rows, prices.select("ticker", "trade_date"), ts, "entry_day", by=["ticker"])
-    px = prices.select("ticker", F.col("trade_date").alias("entry_day"), clean(F.col("open").cast("double")).alias("entry_price"), calendar.ahead("open", cfg.holding_days).cast("double").alias("exit_open"), calendar.ahead("trade_date", cfg.holding_days).alias("exit_day"))
-    both = placed.join(px, ["ticker", "entry_day"]).withColumn("exit_price", clean(F.col("exit_open")))
+    px = prices.select("ticker", F.col("trade_date").alias("entry_day"), finite(F.col("open").cast("double")).alias("entry_price"), calendar.ahead("open", cfg.holding_days).cast("double").alias("exit_open"), calendar.ahead("trade_date", cfg.holding_days).alias("exit_day"))
+    both = placed.join(px, ["ticker", "entry_day"]).withColumn("exit_price", finite(F.col("exit_open")))
     both = both.where("exit_day IS NOT NULL AND exit_price IS NOT NULL AND entry_price > 0")
     gross, net, pnl = trade_returns(F.col("direction_signed"), F.col("entry_price"), F.col("exit_price"), cfg)
     extra = [F.col("sector") if "sector" in predictions.columns else F.lit(None).cast("string").alias("sector")]

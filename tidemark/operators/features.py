@@ -36,12 +36,12 @@ def described_items(items, names: dict[str, str]):
     return F.when(F.coalesce(items, F.lit("")) == "", F.lit("")).otherwise(F.array_join(lines, "\n"))
 
 
-def event_features(events: DataFrame, sectors: DataFrame, ts: str = "publish_ts", running: bool = False) -> DataFrame:
+def event_features(events: DataFrame, sectors: DataFrame, ts: str = "publish_ts", running: bool = False, key: str = "event_id") -> DataFrame:
     """Events with the prompt's fields beside them, each on its own row.
 
     Counts and gaps are over the events given: pass the whole history before any split.
     """
-    out = with_sector(same_day_count(days_since_previous(events, ts), ts, running=running), sectors)
+    out = with_sector(same_day_count(days_since_previous(events, ts, key=key), ts, running=running, key=key), sectors)
     return out.withColumns(
         {
             "publish_date": F.date_format(clock.market_date(F.col(ts)), "yyyy-MM-dd"),

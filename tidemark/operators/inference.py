@@ -6,7 +6,7 @@ log-probabilities of whole answers; everything after that is expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -26,6 +26,24 @@ class LogProbScorer(Protocol):
         """Of each completion after the prompt; None where nothing of it is left to score."""
 
 
+def shared_prefix(before: Sequence[int], whole: Sequence[int]) -> int:
+    """How many leading tokens a prompt has in common with the prompt and its completion.
+
+    A tokenizer may join the prompt's end with the completion's start, so the prompt's length alone doesn't tell.
+    """
+    n = min(len(before), len(whole))
+    return next((i for i in range(n) if before[i] != whole[i]), n)
+
+
+def completion_log_prob(before: Sequence[int], whole: Sequence[int], log_probs: Sequence[float]) -> float | None:
+    """Log-probability of what follows the common tokens; log_probs[i] is that of whole[i] after those before it.
+
+    None where nothing follows.
+    """
+    start = shared_prefix(before, whole)
+    return float(sum(log_probs[start : len(whole)])) if start < len(whole) else None
+
+
 def greedy_infer(prompts: DataFrame, factory: Callable[[], TextScorer], text: str = "text", batch: int = 8, max_new_tokens: int = 24) -> DataFrame:
     """Adds raw_response, pred_direction and pred_materiality; malformed answers are null."""
     schema = prompts.drop(text).schema.simpleString()[7:-1] + ", raw_response string"
@@ -72,4 +90,4 @@ def prob_infer(prompts: DataFrame, factory: Callable[[], LogProbScorer], text: s
     return out.withColumns({k: F.when(whole, v) for k, v in columns.items()}).drop("log_d", "log_m", "p", "q")
 
 
-__all__ = ["LogProbScorer", "TextScorer", "greedy_infer", "prob_infer", "response"]
+__all__ = ["LogProbScorer", "TextScorer", "completion_log_prob", "greedy_infer", "prob_infer", "response", "shared_prefix"]

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import canary, diagnose, labels, metrics
+from ..functions.text import accession_path
+from ..operators import canary, diagnose, labels, metrics, splits
+from ..session import importable
 from ..sources import filings, sinks
+from ..sources.http import PAUSE, ThrottledHttp
 
 
 def edgar_path(root: str) -> str:
@@ -39,6 +43,51 @@ def ingest(index: DataFrame, documents: DataFrame, root: str, form: str = "8-K",
     return sinks.write_partitioned(out, edgar_path(root), overwrite=overwrite)
 
 
+def fetched(spark: SparkSession, urls: list[str], folder: str, agent: str, pause: float, skip_errors: bool = False) -> DataFrame:
+    """url, body of each address, asked for once: what is in `folder` isn't asked for again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    had = {r["url"] for r in spark.read.parquet(folder).select("url").collect()} if there else set()
+    if new := sorted(set(urls) - had):
+        importable(spark)
+        spark.dataSource.register(ThrottledHttp)
+        how = {"urls": " ".join(new), "agent": agent, "pause": str(pause), "skip_errors": str(skip_errors).lower()}
+        spark.read.format("throttled_http").options(**how).load().where("body IS NOT NULL").select("url", "body").write.mode("append").parquet(folder)
+    empty = spark.createDataFrame([], "url string, body string")
+    asked = spark.createDataFrame([(u,) for u in sorted(set(urls))], "url string")
+    return spark.read.parquet(folder).join(F.broadcast(asked), "url", "left_semi") if new or there else empty
+
+
+def fetch_and_ingest(
+    spark: SparkSession, tickers: list[str], start: date, end: date, root: str, agent: str = "tidemark", www: str = "https://www.sec.gov", data: str = "https://data.sec.gov", pause: float = PAUSE, form: str = "8-K", overwrite: bool = False
+) -> DataFrame:
+    """Filings of [start, end) of the tickers with their documents, from the public filing service's addresses.
+
+    One partition asks, with a pause between requests, so the driver's lists of addresses are bounded by that rate.
+    A document that can't be had is left out; a ticker that no company has raises KeyError.
+    """
+    get = lambda urls, skip=False: fetched(spark, urls, f"{root}/fetched", agent, pause, skip)
+    companies = filings.parse_company_tickers(get([f"{www}/files/company_tickers.json"]), "body").cache()
+    ciks = {t: filings.cik_for_ticker(companies, t) for t in tickers}
+    named = spark.createDataFrame([(f"{data}/submissions/CIK{c}.json", t, c) for t, c in ciks.items()], "url string, ticker string, cik string")
+    whole = get([f"{data}/submissions/CIK{c}.json" for c in ciks.values()]).join(F.broadcast(named), "url")
+    keep = ("ticker", "cik")
+    recent = filings.columnar_json_to_rows(whole.withColumn("json", F.get_json_object("body", "$.filings.recent")), keep=keep)
+    older = whole.select(*keep, F.explode(F.from_json(F.get_json_object("body", "$.filings.files"), "array<struct<name:string>>")).alias("f")).select(*keep, F.concat(F.lit(f"{data}/submissions/"), "f.name").alias("url"))
+    shard_urls = [r["url"] for r in older.collect()]
+    index = filings.list_filings(recent, *([filings.columnar_json_to_rows(get(shard_urls).join(older, "url"), "body", keep)] if shard_urls else []), form=form)
+    index = splits.date_range(index, "filingDate", start, end).cache()
+    base = F.concat(F.lit(f"{www}/Archives/edgar/data/"), accession_path(F.col("accessionNumber"), F.col("cik")))
+    main = index.select("accessionNumber", F.lit(0).alias("position"), F.col("primaryDocument").alias("name"), F.concat_ws("/", base, "primaryDocument").alias("url"))
+    lists = index.select("accessionNumber", "primaryDocument", base.alias("base"), F.concat(base, F.lit("/index.json")).alias("url"))
+    items = get([r["url"] for r in lists.select("url").collect()], True).join(lists, "url")
+    items = items.select("accessionNumber", "primaryDocument", "base", F.posexplode(F.from_json(F.get_json_object("body", "$.directory.item"), "array<struct<name:string>>")).alias("at", "item"))
+    more = filings.exhibits(items.select("accessionNumber", "primaryDocument", (F.col("at") + 1).alias("position"), F.col("item.name").alias("name"), F.concat_ws("/", "base", "item.name").alias("url")))
+    wanted = main.unionByName(more.drop("primaryDocument")).cache()
+    bodies = get([r["url"] for r in wanted.select("url").collect()], True)
+    return ingest(index, wanted.join(bodies, "url").select("accessionNumber", "position", "name", F.col("body").alias("html")), root, form, overwrite)
+
+
 def label(events: DataFrame, prices: DataFrame, factors: DataFrame, root: str, ts: str = "acceptanceDateTime", overwrite: bool = False) -> DataFrame:
     """Writes events with their labels; both windows come from one fit. An event without a label keeps its row."""
     out = labels.label_events(events, prices, factors, ts)
@@ -52,6 +101,20 @@ def ingest_and_label(spark: SparkSession, index: DataFrame, documents: DataFrame
     return label(spark.read.parquet(edgar_path(root)), prices, factors, root, overwrite=overwrite)
 
 
+def label_cells(spark: SparkSession, tickers: list[str], years: list[int], prices: DataFrame, factors: DataFrame, root: str, overwrite: bool = False) -> DataFrame:
+    """Labels the events of all tickers and years in one job; ticker, year, n_events, n_labeled of each that has events."""
+    events = spark.read.parquet(edgar_path(root)).where(F.col("ticker").isin(tickers) & F.col("year").isin(years))
+    label(events, prices.where(F.col("ticker").isin(tickers)), factors, root, overwrite=overwrite)
+    done = spark.read.parquet(labeled_path(root)).where(F.col("ticker").isin(tickers) & F.col("year").isin(years))
+    return done.groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n_events"), F.count("direction").alias("n_labeled")).orderBy("ticker", "year")
+
+
+def combine(spark: SparkSession, root: str, tickers: list[str], years: list[int], path: str) -> DataFrame:
+    """Writes the labelled events of all tickers and years as one dataset, by time."""
+    filings.labeled_grid(spark, labeled_path(root), tickers, years).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def for_each_cell(cells: list[tuple[str, int]], work: Callable[[str, int], object]) -> dict[str, list]:
     """Runs work for each ticker and year; a cell that fails is named with its error and the others go on."""
     done: dict[str, list] = {"ok": [], "failed": []}
@@ -98,4 +161,4 @@ def spot_check(labeled: DataFrame, z: str = "car_z_0_1", n: int = 10) -> DataFra
     return top.withColumn("items_described", described_items(F.col("items"), ITEM_NAMES)).withColumn("excerpt", excerpt(F.col("body_text")))
 
 
-__all__ = ["canary_report", "diagnosis", "edgar_path", "evaluate", "for_each_cell", "ingest", "ingest_and_label", "label", "labeled_path", "spot_check"]
+__all__ = ["canary_report", "combine", "diagnosis", "edgar_path", "evaluate", "fetch_and_ingest", "fetched", "for_each_cell", "ingest", "ingest_and_label", "label", "label_cells", "labeled_path", "spot_check"]

@@ -8,20 +8,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "tidemark", cores: int | str = 8, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; keyword arguments override any setting."""
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"),
-    }
+def get_session(app: str = "tidemark", cores: int | str | None = None, **conf: str) -> SparkSession:
+    """A session in UTC with adaptive execution; keyword arguments override any setting.
+
+    cores: for tests and the bench, a local master with so many threads and shuffle partitions. Without it the master,
+    memory and partitions are those of spark-submit and the cluster.
+    """
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    builder = SparkSession.builder.appName(app)
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]")
+        settings |= {
+            "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"),
+        }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
-    return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+    return builder.config(map=settings).getOrCreate()
 
 
 def importable(spark: SparkSession) -> None:

@@ -42,28 +42,30 @@ def prompt_lines(events: DataFrame, answered: bool, ts: str = "publish_ts") -> D
     return rows.select(training_json(rows, ts).alias("value"))
 
 
-def write_jsonl(events: DataFrame, path: str, answered: bool) -> int:
+def write_jsonl(events: DataFrame, path: str, answered: bool, ts: str = "publish_ts") -> int:
     """Writes the lines and returns their number."""
-    prompt_lines(events, answered).write.mode("overwrite").text(path)
+    prompt_lines(events, answered, ts).write.mode("overwrite").text(path)
     return events.sparkSession.read.text(path).count()
 
 
 def write_splits(events: DataFrame, sectors: DataFrame, folder: str, cfg: splits.SplitConfig = splits.SplitConfig(), balance: bool = False, ts: str = "publish_ts", key: str = "event_id") -> dict[str, int]:
     """train, {val,test}_prompt, {val,test}_labeled, and the earnings of val and test; returns the rows of each.
 
-    Features come from the whole history, before earnings are dropped and splits made.
+    Features come from the whole history, before events without a label are dropped, earnings too, and splits made.
     """
-    named = splits.temporal_split(features.event_features(events, sectors, ts), ts, cfg).cache()
+    known = features.event_features(events, sectors, ts, key=key)
+    known = splits.require(known, [c for c in ("car_0_1", "direction") if c in known.columns])
+    named = splits.temporal_split(known, ts, cfg).cache()
     plain = splits.drop_earnings(named)
     train = plain.where("split = 'train'")
     if balance:
         train = splits.seeded_shuffle(splits.oversample(train, "direction", key).withColumn("__k", F.concat_ws("-", key, "draw")), "__k").drop("__k", "draw")
-    out = {"train": write_jsonl(train, f"{folder}/train", True)}
+    out = {"train": write_jsonl(train, f"{folder}/train", True, ts)}
     for s in ("val", "test"):
         part = plain.where(F.col("split") == s)
-        out[f"{s}_prompt"] = write_jsonl(part, f"{folder}/{s}_prompt", False)
-        out[f"{s}_labeled"] = write_jsonl(part, f"{folder}/{s}_labeled", True)
-        out[f"{s}_earnings_only"] = write_jsonl(splits.earnings_only(named.where(F.col("split") == s)), f"{folder}/{s}_earnings_only", True)
+        out[f"{s}_prompt"] = write_jsonl(part, f"{folder}/{s}_prompt", False, ts)
+        out[f"{s}_labeled"] = write_jsonl(part, f"{folder}/{s}_labeled", True, ts)
+        out[f"{s}_earnings_only"] = write_jsonl(splits.earnings_only(named.where(F.col("split") == s)), f"{folder}/{s}_earnings_only", True, ts)
     named.unpersist()
     return out
 
@@ -73,6 +75,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_predictions(df: DataFrame, path: str) -> DataFrame:
+    """Writes predictions and returns n_rows and the share with a parsed direction, of what was written."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("pred_direction").isNotNull().cast("double")).alias("parseable_rate"))
+
+
 def write_backtest(result: dict[str, DataFrame], folder: str) -> bool:
     """Trades and equity, if there are trades."""
     if result["trades"].isEmpty():

@@ -23,6 +23,12 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRAINING_ROW).json(path)
 
 
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts with what is known about each beside the text."""
+    rows = read_jsonl(spark, path).select("text", "meta.*")
+    return rows.withColumn("publish_ts_utc", F.to_timestamp("publish_ts_utc"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
