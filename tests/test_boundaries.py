@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -147,6 +149,32 @@ def test_spearman(spark):
     assert up.n == 8 and up.spearman_rho == pytest.approx(1.0)
 
 
+def test_ranks_of_any_values(spark):
+    """Outliers, ties, zeros of both signs, tiny and huge numbers; ranks as sorting gives them, in each group."""
+    rng = random.Random(9)
+    values = [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, 2.0**-1000, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, 8.0, math.nextafter(8.0, 0), float("inf"), float("-inf"), *[rng.gauss(0, 0.02) for _ in range(150)], *[0.5] * 40, *[-float(i % 7) for i in range(60)]]
+    rows = [(g, v) for g in ("a", None) for v in values[: None if g else 120]]
+    got = metrics.with_rank(spark.createDataFrame(rows, "g string, v double"), "v", "r", ["g"]).collect()
+    assert len(got) == len(rows)
+    for g in ("a", None):
+        own = sorted(v for k, v in rows if k == g)
+        assert all(r.r == (sum(x < r.v for x in own) + 1 + sum(x <= r.v for x in own)) / 2 for r in got if r.g == g)
+    labels = [(v, int(rng.random() < 0.4)) for v in values]
+    auc = metrics.rank_auc(spark.createDataFrame(labels, "s double, y int"), "y", "s").first().auc
+    pos, neg = [v for v, y in labels if y], [v for v, y in labels if not y]
+    assert auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
+
+
+def test_rank_windows_are_bounded(spark):
+    """One outlier doesn't put all values into one window; values that all tie are one row."""
+    df = spark.range(20_000).select((F.col("id") / 20_000).alias("v")).unionByName(spark.createDataFrame([(1e12,)], "v double"))
+    counts = df.groupBy("v").agg(F.lit(1.0).alias("n"))
+    power = F.floor(F.log2("v"))
+    sizes = counts.where("v > 0").groupBy(power.alias("p"), F.floor(F.col("v") / F.pow(F.lit(2.0), power.cast("double")) * (1 << 20)).alias("q")).count().agg(F.max("count")).first()[0]
+    assert sizes <= 2
+    assert metrics.with_rank(spark.range(1000).select(F.lit(3.0).alias("v")), "v", "r").agg(F.min("r"), F.max("r")).first() == (500.5, 500.5)
+
+
 def test_spearman_p():
     assert metrics.spearman_p(0.0, 10) == pytest.approx(1.0)
     assert metrics.spearman_p(1.0, 10) == 0.0

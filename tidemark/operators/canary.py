@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +50,38 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
     """
     rows = terms(df.select(key, text), text, stop_words=stop_words)
     total = rows.agg(F.count(F.lit(1)).alias("n"))
-    # a text's terms in order: the first of equal ones counts the text, so one grouping gives both counts
-    ordered = rows.select(F.array_sort("terms").alias("t"))
-    marked = ordered.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("t", i - 1))).cast("int").alias("new")))).alias("m"))
-    per = marked.groupBy(F.col("m.term").alias("term")).agg(F.sum("m.new").alias("df"), F.count(F.lit(1)).alias("c")).where(F.col("df") >= min_docs)
+    # one grouping gives both counts: a row for each term, and one for each distinct term of a text
+    both = F.concat(F.transform("terms", lambda x: F.struct(x.alias("term"), F.lit(0).alias("new"))), F.transform(F.array_distinct("terms"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("new"))))
+    marked = rows.select(F.explode(both).alias("m"))
+    per = marked.groupBy(F.col("m.term").alias("term")).agg(F.sum("m.new").alias("df"), F.sum(1 - F.col("m.new")).alias("c")).where(F.col("df") >= min_docs)
     top = per.orderBy(F.desc("c"), "term").limit(max_features)  # the feature itself is a bounded vocabulary
     return top.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
+def fit_tfidf(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None = None) -> tuple[list[str], list[float]]:
+    """The vocabulary, MAX_FEATURES terms at most, and the idf of each."""
+    rows = term_weights(df.select(F.lit(0).alias("__key"), F.col(text).alias("__body")), "__key", "__body", stop_words=stop_words).collect()
+    return [r["term"] for r in rows], [r["idf"] for r in rows]
+
+
+def with_tfidf(df: DataFrame, vocabulary: Sequence[str], idf: Sequence[float], text: str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Adds `features`, sparse unit vectors of tf * idf; zero where a text has no term of the vocabulary."""
+    model = CountVectorizerModel.from_vocabulary(list(vocabulary) or [""], inputCol="terms", outputCol="__tf")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(list(idf) or [0.0]), inputCol="__tf", outputCol="__raw")
+    return Normalizer(p=2.0, inputCol="__raw", outputCol="features").transform(scaled.transform(model.transform(terms(df, text, stop_words=stop_words)))).drop("terms", "__tf", "__raw")
+
+
 def tfidf(train: DataFrame, *others: DataFrame, text: str = "text") -> list[DataFrame]:
     """Adds `features`, unit vectors of tf * idf, to train and others; vocabulary and idf are of train alone."""
-    rows = [terms(d, text) for d in (train, *others)]
-    model = CountVectorizer(inputCol="terms", outputCol="__tf", minDF=MIN_DOCS, vocabSize=MAX_FEATURES).fit(rows[0])
-    n = rows[0].count()
-    counted = model.transform(rows[0])
-    df = {r["i"]: r["n"] for r in counted.select(F.posexplode(vector_to_array("__tf")).alias("i", "v")).where("v > 0").groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = F.array(*[F.lit(math.log((1 + n) / (1 + df.get(i, 0))) + 1) for i in range(len(model.vocabulary))]) if model.vocabulary else F.array().cast("array<double>")
-    out = []
-    for d in rows:
-        raised = F.zip_with(vector_to_array("__tf"), idf, lambda a, b: a * b)
-        d = model.transform(d).withColumn("__raw", array_to_vector(raised))
-        out.append(Normalizer(p=2.0, inputCol="__raw", outputCol="features").transform(d).drop("terms", "__tf", "__raw"))
-    return out
+    vocabulary, idf = fit_tfidf(train, text)
+    return [with_tfidf(d, vocabulary, idf, text) for d in (train, *others)]
+
+
+def feature_totals(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """(term, df, weight): in how many rows each term's feature isn't zero, and its sum; one pass over sparse vectors."""
+    summary = rows.select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("features")).alias("s"))
+    pairs = F.arrays_zip(F.array(*map(F.lit, vocabulary)).alias("term"), vector_to_array("s.numNonZeros").alias("df"), vector_to_array("s.sum").alias("weight"))
+    return summary.select(F.inline(pairs)).select("term", F.col("df").cast("long").alias("df"), "weight") if vocabulary else summary.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("weight")).limit(0)
 
 
 def logreg_cv(train: DataFrame, label: str = "label", features: str = "features", key: str = "id", grid: tuple[float, ...] = C_GRID, folds: int = FOLDS):

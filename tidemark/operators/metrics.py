@@ -1,8 +1,9 @@
 """Scores of predictions, over all rows or by group.
 
-Every metric takes the group's columns in `by` (none: one row over all). Ranks don't sort all rows in one task: values
-fall into equal-width buckets of their range, ranks are taken within a bucket and moved up by the counts of the
-buckets before it.
+Every metric takes the group's columns in `by` (none: one row over all). Ranks don't sort all rows in one task: rows are
+counted by value first, so ties are one row, and what lies below a value is added up in three levels: by sign and power
+of two, by the next 20 bits within that, and by value within those. No window has more rows than that many powers or
+bits, or the distinct values that agree to a millionth, whatever outliers there are.
 """
 
 from __future__ import annotations
@@ -15,15 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clean, direction_score
 
-RANK_BUCKETS = 1024
-
-
-def _bucketed(df: DataFrame, value: str) -> DataFrame:
-    span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    width = F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    return df.crossJoin(F.broadcast(span)).withColumn("__b", F.coalesce(F.least(F.floor(width * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1)), F.lit(0))).drop("__lo", "__hi")
-
-
 def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Joins on keys where null equals null; b's keys go."""
     named = b.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in b.columns])
@@ -31,29 +23,35 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner")
     return (a.join(named, on, how) if keys else a.crossJoin(F.broadcast(named))).drop(*[f"__k_{k}" for k in keys])
 
 
+def _below(counts: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
+    """Adds `below`, the weight of the group's smaller values; counts has a row for each value of a group."""
+    size = F.abs(F.col(value))
+    power = F.greatest(F.least(F.floor(F.log2(F.when(size > 0, size))), F.lit(1023)), F.lit(-1000))
+    sign = F.signum(F.col(value)).cast("long")
+    rows = counts.withColumn("__p", F.coalesce(sign * (power + 1100), F.lit(0)))
+    rows = rows.withColumn("__q", F.coalesce(sign * F.floor(F.least(size / F.pow(F.lit(2.0), power.cast("double")) * (1 << 20), F.lit(2.0**40))), F.lit(0)))
+    before = lambda keys, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    fine = rows.groupBy(*by, "__p", "__q").agg(F.sum(weight).alias("__w"))
+    coarse = fine.groupBy(*by, "__p").agg(F.sum("__w").alias("__w"))
+    coarse = coarse.withColumn("__a", before(by, "__p", "__w")).drop("__w")
+    fine = _null_safe(fine.withColumn("__b", before([*by, "__p"], "__q", "__w")).drop("__w"), coarse, [*by, "__p"])
+    rows = _null_safe(rows.withColumn("__c", before([*by, "__p", "__q"], value, weight)), fine, [*by, "__p", "__q"])
+    return rows.withColumn("below", F.col("__a") + F.col("__b") + F.col("__c")).drop("__a", "__b", "__c", "__p", "__q")
+
+
 def with_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Adds the rank of value in its group, from 1, ties averaged. Rows without a value must be gone."""
     by = by or []
-    rows = _bucketed(df, value)
-    sizes = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("__before", before).drop("__n")
-    ranked = rows.withColumn("__r", F.rank().over(Window.partitionBy(*by, "__b").orderBy(value))).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*by, "__b", value)))
-    ranked = _null_safe(ranked, sizes, [*by, "__b"])
-    return ranked.withColumn(out, F.col("__before") + F.col("__r") + (F.col("__t") - 1) / 2).drop("__b", "__r", "__t", "__before")
+    counts = _below(df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("__n")), value, "__n", by)
+    return _null_safe(df, counts.select(*by, value, (F.col("below") + (F.col("__n") + 1) / 2).alias(out)), [*by, value])
 
 
 def rank_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """auc by group: exact, ties averaged; null where the label has one class. label is 0 or 1."""
     by = by or []
-    counts = _bucketed(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), score).groupBy(*by, "__b", score)
-    counts = counts.agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
-    sizes = counts.groupBy(*by, "__b").agg(F.sum("neg").alias("n"))
-    over = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("below", F.coalesce(F.sum("n").over(over), F.lit(0.0))).drop("n")
-    inner = Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    counts = _null_safe(counts.withColumn("under", F.coalesce(F.sum("neg").over(inner), F.lit(0.0))), sizes, [*by, "__b"])
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("under") + F.col("neg") / 2))
+    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score)
+    counts = _below(counts.agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg")), score, "neg", by)
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return counts.groupBy(*by).agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 

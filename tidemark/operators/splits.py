@@ -68,10 +68,9 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     """All rows, and for each smaller class as many draws with replacement as it lacks to the largest.
 
     Draw k of a class takes the row whose rank is a hash of class, k and seed; `draw` is 0 for the rows themselves.
-    Ranks are taken within hash buckets of the class, so a class is never one task.
+    Ranks are taken within 4096 hash buckets of the class, so a class is never one task.
     """
-    buckets = 64
-    rows = df.where(F.col(label).isNotNull()).withColumn("__b", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)))
+    rows = df.where(F.col(label).isNotNull()).withColumn("__b", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
     sizes = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

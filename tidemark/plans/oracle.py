@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from ..functions.numeric import DIRECTIONS, MATERIALITIES
 from ..functions.text import BODY_CUES, SYSTEM_PROMPT
 from ..sources.dims import FULL_TICKERS, ITEM_NAMES, SECTORS
 
-#: Words left out of the term weights that are checked by SQL.
-STOP_WORDS = ("the", "of", "and", "in", "is", "to", "de", "la", "que", "le", "et", "der", "die", "und")
+#: Fixed: the English stop words of Spark's remover that are words of letters alone, as others are no terms.
+STOP_WORDS = (
+    "about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does doing don down during each few for from further had has have having he her here hers "
+    "herself him himself his how if in into is it its itself just me more most my myself no nor not now of off on once only or other ought our ours ourselves out over own same she should so some such than that the their theirs them "
+    "themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves"
+).split()
 
 
 def _q(s: str) -> str:
@@ -152,8 +157,22 @@ def _car() -> str:
 
 OLS, SIGMA, CAR = _ols(), _sigma(), _car()
 _STOP = "[" + ", ".join(map(_q, STOP_WORDS)) + "]"
-TFIDF = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z\s]', 'q', 'g')), '[a-z][a-z]+'), lambda x: NOT list_contains({_STOP}, x)) AS w FROM documents),
+TERMS = rf"""d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]{{2,}}'), lambda x: NOT list_contains({_STOP}, x)) AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS term FROM d UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
-t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS c FROM u GROUP BY term HAVING count(DISTINCT doc_id) >= 2)
-SELECT term, CAST(df AS BIGINT) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf FROM t ORDER BY c DESC, term LIMIT 2000"""
+t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS c FROM u GROUP BY term HAVING count(DISTINCT doc_id) >= 2),
+top AS (SELECT term, CAST(df AS BIGINT) AS df, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM t ORDER BY c DESC, term LIMIT 2000)"""
+TERM_WEIGHTS = f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM top"
+TFIDF = f"""WITH {TERMS}, f AS (SELECT doc_id, u.term, count(*) * any_value(idf) AS x FROM u JOIN top ON top.term = u.term GROUP BY doc_id, u.term), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM f GROUP BY doc_id)
+SELECT term, CAST(count(*) AS BIGINT) AS df, round(sum(x / norm), 6) AS weight FROM f JOIN n ON n.doc_id = f.doc_id GROUP BY term"""
+
+
+def key_scorer(prompt: str) -> str:
+    """Common tables m, p, q: what the queries' stand-in for a model makes of (event_id, t) in `prompt`."""
+    score = lambda size, i: f"-CAST((length(t) * 31 + {size} * 17 + {i} * 7) % 97 AS DOUBLE) / 20"
+    d = ", ".join(f"{score(len('Direction: ' + x), i)} AS d{i}" for i, x in enumerate(DIRECTIONS))
+    mats = ", ".join(f"{score(f'length({_q(chr(68) + 'irection: ')} || pred || chr(10) || {_q('Materiality: ' + x)})', i)} AS m{i}" for i, x in enumerate(MATERIALITIES))
+    soft = lambda names, top: ", ".join(f"exp({n} - {top}) / ({' + '.join(f'exp({k} - {top})' for k in names)}) AS p_{n}" for n in names)
+    ds, ms = [f"d{i}" for i in range(3)], [f"m{i}" for i in range(2)]
+    pred = " ".join(f"WHEN d{i} >= greatest(d0, d1, d2) THEN {_q(x)}" for i, x in enumerate(DIRECTIONS))
+    mat = " ".join(f"WHEN m{i} >= greatest(m0, m1) THEN {_q(x)}" for i, x in enumerate(MATERIALITIES))
+    return f"""s AS (SELECT *, {d} FROM {prompt}), p AS (SELECT *, {soft(ds, "greatest(d0, d1, d2)")}, CASE {pred} END AS pred FROM s), r AS (SELECT *, {mats} FROM p), q AS (SELECT *, {soft(ms, "greatest(m0, m1)")}, CASE {mat} END AS mat FROM r)"""

@@ -242,17 +242,9 @@ def item_describe(spark, sf):
     return proxy.events(spark, sf).select("event_id", features.described_items(F.col("items"), dims.ITEM_NAMES).alias("described"))
 
 
-@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
-SELECT CAST(g.day AS DATE) AS day, round(coalesce(v, 0), 2) AS v FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON d.day = CAST(g.day AS DATE) WHERE isodow(g.day) < 6""")
-def calendar_densify(spark, sf):
-    daily = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
-    return calendar.densify(daily, "day", {"v": 0.0}).select("day", r6("v", 2))
-
-
 @query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY 1)
 SELECT CAST(g.day AS DATE) AS day, round(coalesce(v, 0), 2) AS v FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) g LEFT JOIN d ON d.day = CAST(g.day AS DATE) WHERE isodow(g.day) < 6""")
-def calendar_densify_all(spark, sf):
-    """Daily totals of all orders; calendar_densify, as its SQL, takes urgent ones alone."""
+def calendar_densify(spark, sf):
     daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
     return calendar.densify(daily, "day", {"v": 0.0}).select("day", r6("v", 2))
 
@@ -552,10 +544,12 @@ def union_shards(spark, sf):
     return splits.union_shards(a, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")))
 
 
-@query(f"""WITH {O.FILINGS}, c AS (SELECT direction, count(*) AS n FROM fl GROUP BY 1) SELECT direction, CAST((SELECT max(n) FROM c) AS BIGINT) AS n, CAST(n AS BIGINT) AS n_originals FROM c""")
+@query(f"""WITH {O.FILINGS}, rows AS (SELECT event_id, direction, row_number() OVER (PARTITION BY direction ORDER BY substr(md5(CAST(event_id AS VARCHAR)), 1, 3), event_id) - 1 AS rank, count(*) OVER (PARTITION BY direction) AS n FROM fl WHERE direction IS NOT NULL),
+ draws AS (SELECT direction, n, unnest(range(1, (SELECT max(n) FROM rows) - n + 1)) AS draw FROM (SELECT DISTINCT direction, n FROM rows))
+ SELECT event_id, direction, CAST(0 AS BIGINT) AS draw FROM fl UNION ALL
+ SELECT rows.event_id, rows.direction, CAST(draw AS BIGINT) FROM draws JOIN rows ON rows.direction = draws.direction AND rank = CAST('0x' || substr(md5(draws.direction || ':' || draw || ':42'), 1, 8) AS BIGINT) % draws.n""")
 def oversample_minority(spark, sf):
-    out = splits.oversample(proxy.filings(spark, sf).drop("body_text"), "direction", "event_id")
-    return out.groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("draw") == 0).alias("n_originals"))
+    return splits.oversample(proxy.filings(spark, sf).select("event_id", "direction"), "direction", "event_id")
 
 
 @query(f"""WITH {O.FILINGS} SELECT event_id, split FROM (SELECT event_id, CASE WHEN publish_ts < TIMESTAMP '2021-01-01' THEN 'train' WHEN publish_ts >= TIMESTAMP '2021-01-08' AND publish_ts < TIMESTAMP '2022-01-01' THEN 'val'
@@ -627,13 +621,14 @@ def body_excerpt(spark, sf):
 
 @query(O.TFIDF)
 def tfidf_features(spark, sf):
-    rows = canary.term_weights(table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"[^A-Za-z\s]", "q")), stop_words=O.STOP_WORDS)
-    return rows.select("term", "df", r6("idf"))
+    """The canary's features over whole texts: of each term, the documents that have it and its weights' sum."""
+    docs = table(spark, sf, "documents")
+    vocabulary, idf = canary.fit_tfidf(docs)
+    return canary.feature_totals(canary.with_tfidf(docs.select("text"), vocabulary, idf), vocabulary).select("term", "df", r6("weight"))
 
 
-@query()
+@query(O.TERM_WEIGHTS)
 def tfidf_whole_texts(spark, sf):
-    """The operator as it is, on whole texts: tfidf_features alters them so that SQL's ASCII pattern gives its rows."""
     return canary.term_weights(table(spark, sf, "documents")).select("term", "df", r6("idf"))
 
 
@@ -657,11 +652,17 @@ def _prompts(spark: SparkSession, sf: str) -> DataFrame:
     return features.prompts(features.event_features(proxy.filings(spark, sf), dims.sectors(spark)), False).select("event_id", "text")
 
 
-@query()
+_P = ", ".join([f"round(p_d{i}, 6) AS pred_p_{x}" for i, x in enumerate(numeric.DIRECTIONS)] + [f"round(p_m{i}, 6) AS pred_p_{x}" for i, x in enumerate(numeric.MATERIALITIES)])
+
+
+@query(f"WITH {O.FILINGS}, {O.FEATURES}, pt AS (SELECT event_id, {O.chat(False)} AS t FROM feat), {O.key_scorer('pt')} SELECT event_id, pred AS pred_direction, mat AS pred_materiality, {_P} FROM q")
 def prob_infer(spark, sf):
-    return inference.prob_infer(_prompts(spark, sf), _KeyScorer)
+    out = inference.prob_infer(_prompts(spark, sf), _KeyScorer)
+    return out.select("event_id", "pred_direction", "pred_materiality", *[r6(f"pred_p_{x}") for x in (*numeric.DIRECTIONS, *numeric.MATERIALITIES)])
 
 
-@query()
+@query(f"""WITH {O.FILINGS}, {O.FEATURES}, pt AS (SELECT event_id, length({O.chat(False)}) AS n FROM feat),
+ a AS (SELECT event_id, CASE WHEN n % 5 <> 0 THEN ['down', 'neutral', 'up'][n % 3 + 1] END AS d, CASE WHEN n % 5 <> 0 THEN ['material', 'immaterial'][n % 2 + 1] END AS m FROM pt)
+ SELECT event_id, coalesce('Direction: ' || d || chr(10) || 'Materiality: ' || m, '?') AS raw_response, d AS pred_direction, m AS pred_materiality FROM a""")
 def greedy_infer(spark, sf):
     return inference.greedy_infer(_prompts(spark, sf), _KeyScorer)
