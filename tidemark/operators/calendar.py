@@ -22,15 +22,20 @@ def ordinals(sessions: DataFrame, day: str = "trade_date", by: list[str] | None
 
 
 def next_session_map(sessions: DataFrame, day: str = "trade_date", by: list[str] | None = None) -> DataFrame:
-    """(group, target, session): the first session at or after each day, from the first session to the last.
+    """(group, target, session): the first session at or after each day, to the group's last session.
 
-    Days before the first session are found through `first_session`, see `resolve`.
+    Days begin with the first session of any group, so that a group's own first session is found from there on.
     """
     keys = by or []
-    distinct = sessions.select(*keys, day).distinct()
+    distinct = sessions.select(*keys, day).distinct().crossJoin(F.broadcast(first_session(sessions, day)))
     before = F.lag(day).over(Window.partitionBy(*keys).orderBy(day))
-    spans = distinct.select(*keys, F.col(day).alias("session"), F.date_add(before, 1).alias("from"), before.isNull().alias("is_first"))
-    return spans.select(*keys, F.explode(F.sequence(F.coalesce("from", "session"), "session")).alias("target"), "session")
+    spans = distinct.select(*keys, F.col(day).alias("session"), F.coalesce(F.date_add(before, 1), F.col("__first")).alias("from"))
+    return spans.select(*keys, F.explode(F.sequence("from", "session")).alias("target"), "session")
+
+
+def first_session(sessions: DataFrame, day: str = "trade_date") -> DataFrame:
+    """One row with the first day of all, which stands for all days before it."""
+    return sessions.agg(F.min(day).alias("__first"))
 
 
 def target_day(ts: Column, inclusive: bool) -> Column:
@@ -40,15 +45,18 @@ def target_day(ts: Column, inclusive: bool) -> Column:
     return F.when(same, clock.market_date(ts)).otherwise(F.date_add(clock.market_date(ts), 1))
 
 
-def resolve(events: DataFrame, sessions: DataFrame, ts: str, out: str, inclusive: bool = False, day: str = "trade_date", by: list[str] | None = None) -> DataFrame:
-    """Adds the first session whose open comes after ts (or at it); null after the last session."""
+def resolve(events: DataFrame, sessions: DataFrame, ts: str, out: str, inclusive: bool = False, day: str = "trade_date", by: list[str] | None = None, beside: DataFrame | None = None) -> DataFrame:
+    """Adds the first session whose open comes after ts (or at it); null after the last session.
+
+    beside: more columns by group and session, joined to the calendar, so that events are shuffled once.
+    """
     keys = by or []
-    first = sessions.groupBy(*keys).agg(F.min(day).alias("__first"))
-    known = events.withColumn("__target", target_day(F.col(ts), inclusive))
-    known = known.join(F.broadcast(first) if not keys else first, keys, "left") if keys else known.crossJoin(F.broadcast(first))
-    known = known.withColumn("__target", F.greatest("__target", F.when(F.col("__target").isNotNull(), F.col("__first"))))
+    target = F.when(target_day(F.col(ts), inclusive).isNotNull(), F.greatest(target_day(F.col(ts), inclusive), F.col("__first")))
+    known = events.crossJoin(F.broadcast(first_session(sessions, day))).withColumn("__target", target).drop("__first")
     dense = next_session_map(sessions, day, by).withColumnsRenamed({"target": "__target", "session": out})
-    return known.join(dense, [*keys, "__target"], "left").drop("__target", "__first")
+    if beside is not None:
+        dense = dense.join(beside, [*keys, out], "left")
+    return known.join(dense, [*keys, "__target"], "left").drop("__target")
 
 
 def next_session(events: DataFrame, sessions: DataFrame, ts: str = "publish_ts", out: str = "t0", **how) -> DataFrame:

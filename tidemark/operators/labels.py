@@ -102,8 +102,7 @@ def session_labels(prices: DataFrame, factors: DataFrame, windows: Sequence[tupl
 
 def label_events(events: DataFrame, prices: DataFrame, factors: DataFrame, ts: str = "publish_ts", windows: Sequence[tuple[int, int]] = ((0, 1), (-1, 0))) -> DataFrame:
     """Every event with the labels of the session after it, joined by key; null labels where none can be made."""
-    placed = calendar.next_session(events, prices.select("ticker", "trade_date"), ts, "t0", by=["ticker"])
     labels = session_labels(prices, factors, windows)
     # t0 stays only where the event could be labelled
-    found = placed.join(labels, ["ticker", "t0"], "left")
+    found = calendar.next_session(events, prices.select("ticker", "trade_date"), ts, "t0", by=["ticker"], beside=labels)
     return found.withColumn("t0", F.when(F.col("direction").isNotNull(), F.col("t0")))
