@@ -425,6 +425,20 @@ def test_embedding_ids_missing_or_shared(spark):
     assert sorted(map(tuple, got), key=str) == sorted(((i, *rest) for i, _, _, *rest in rows), key=str)
 
 
+def test_equal_rows_in_many_buckets(spark, monkeypatch):
+    """A third of all rows is one row, in many partitions; each copy has the result of one document."""
+    monkeypatch.setattr(repeats, "BUCKET", 2_000)
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = text(30)
+    same = text(20) + " " + passage + " " + passage
+    rows = [(i, text(10) + " " + passage + " " + text(10)) for i in range(60)] + [(30, same)] * 45 + [(None, same)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    check_suffix(df.where("doc_id IS NOT NULL"))
+    check_windows(df.where("doc_id IS NOT NULL"))
+    assert {(r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(df).where("doc_id IS NULL").collect()} == {(len(same), len(same), 1)}
+
+
 def test_suffix_rows_without_an_id(spark):
     rng = random.Random(8)
     p, q, r, s = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=150)) for _ in range(4))

@@ -12,8 +12,9 @@ Documents are dealt into buckets by a hash of their id and text, and a bucket sp
 4. the bucket decides for all places: those after the first of an equal stretch repeat it.
 
 So a passage that very many documents share is a row for each bucket, not for each document, and a text of low
-entropy, whose stretches are equal, is small. Nothing is broadcast or collected; each step is keyed by what rows
-contain, not by where they lie, so a lost task gives the same rows again. The documents are shuffled once and read
+entropy, whose stretches are equal, is small. Rows that repeat an id and a text are dealt by their input partition
+too, into SALTS buckets at most; a shard then has a place more than once, and answers all with the same. Nothing is broadcast or collected; each step is keyed by what rows
+contain and the input's partitions, so a lost task gives the same rows again. The documents are shuffled once and read
 from there in steps 1, 2 and 4.
 """
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from . import sketch
 from .common import partitions, release
 
-#: Bytes of text in a bucket, and of an input in a shard of anchors.
-BUCKET, SHARD = 8_000_000, 16_000_000
+#: Bytes of text in a bucket, and of an input in a shard of anchors; buckets that equal rows are dealt over.
+BUCKET, SHARD, SALTS = 8_000_000, 16_000_000, 1000
 
 
 class Kind:
@@ -267,7 +268,7 @@ def remove(df: DataFrame, kind: Kind, id_col: str, text_col: str, number: Column
     buckets, shards, form = max(4 * parts, size // BUCKET), max(4 * parts, size // SHARD), sketch.shape(anchors)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col).alias("id"), number.alias("num"), key.alias("key"), F.col(text_col).alias("text"))
-    docs = rows.withColumn("bucket", F.pmod(F.xxhash64("num", "key"), F.lit(buckets)).cast("int")).repartition(parts, "bucket")
+    docs = rows.withColumn("bucket", F.pmod(F.xxhash64("num", "key", F.pmod(F.spark_partition_id(), F.lit(SALTS))), F.lit(buckets)).cast("int")).repartition(parts, "bucket")
     told = docs.groupBy("bucket").applyInArrow(_touch(kind, form), _TOUCHED).repartition(parts, "chunk")
     told = told.groupBy("chunk").applyInArrow(_answer(form), _ANSWERED).repartition(parts, "bucket")
     sent = docs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_send(kind, form, shards), _SENT).repartition(parts, "shard")

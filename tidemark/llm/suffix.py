@@ -109,8 +109,27 @@ def _equal_before(windows: np.ndarray, length: int) -> np.ndarray:
 
 
 def judge(rows: repeats.Stretches, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, first windows in them and numbers of windows that also start earlier, by id, position and text hash."""
+    """Rows, first windows in them and numbers of windows that also start earlier, by id, position and text hash.
+
+    Rows of one place, of equal documents in several buckets, are judged once.
+    """
     order = np.lexsort((rows.keys, rows.start, rows.ids, rows.h))
+    h, ids, start, keys = (x[order] for x in (rows.h, rows.ids, rows.start, rows.keys))
+    first = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (start[1:] != start[:-1]) | (keys[1:] != keys[:-1])]
+    if first.all():
+        yield from _judged(rows, order, length)
+        return
+    edge = np.r_[np.flatnonzero(first), len(order)]
+    place = np.cumsum(first) - 1
+    nth = np.empty(len(order), np.int64)
+    nth[order] = place
+    for row, lo, n in _judged(rows, order[first], length):
+        copies = np.diff(edge)[nth[row]]
+        at = np.repeat(edge[nth[row]], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        yield order[at], np.repeat(lo, copies), np.repeat(n, copies)
+
+
+def _judged(rows: repeats.Stretches, order: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     h = rows.h[order]
     group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
     order = order[np.bincount(group, minlength=1)[group] > 1]  # an anchor of one stretch has nothing to compare with
