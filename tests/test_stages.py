@@ -139,6 +139,16 @@ def _train(spark, tmp_path):
     return f"{tmp_path}/sets"
 
 
+def test_canary_and_spot_check(spark, tmp_path, capsys):
+    rows = [(f"a-{i}", "JPM", datetime(2020, 1, 1 + i, 15), "2.02" if i % 3 == 0 else "8.01", f"body {i} " + ("rises" if i % 2 else "falls"), 0.01 * (-1) ** i, None if i == 5 else 0.02 * (i % 4 - 1.5), float(i)) for i in range(16)]
+    spark.createDataFrame(rows, "accessionNumber string, ticker string, acceptanceDateTime timestamp, items string, body_text string, car_0_1 double, car_minus1_0 double, car_z_0_1 double").write.parquet(f"{tmp_path}/e")
+    got = {r["events"]: r for r in run(capsys, "canary", "--events", f"{tmp_path}/e")}
+    assert got["all"]["n_events"] == 15 and got["without_earnings"]["n_events"] == 9
+    assert got["all"]["verdict"] in ("INCONCLUSIVE", "INSUFFICIENT_DATA") and got["without_earnings"]["verdict"] == "INSUFFICIENT_DATA"
+    top = run(capsys, "spot-check", "--events", f"{tmp_path}/e")
+    assert [r["accessionNumber"] for r in top] == [f"a-{i}" for i in range(15, 5, -1)] and "Item 2.02" in top[0]["items_described"]
+
+
 def test_backtest_stage(spark, sf, tmp_path, capsys):
     from tidemark.sources import proxy
 
