@@ -304,10 +304,10 @@ def test_suffix_shard_with_a_common_anchor(monkeypatch, sort):
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage = text(130)
     docs = [(i, text(rng.randint(0, 120)) + (passage if i % 5 else passage[: rng.randint(60, 130)]) + text(rng.randint(0, 120))) for i in range(60)]
-    parts = []
-    for i, t in docs:
-        b = t.encode()
-        parts += [(h, i, 0, s, c, b[s : s + c + 99]) for h, s, c in zip(*(x.tolist() for x in suffix.runs(b, 100, 40)))]
+    texts = [t.encode() for _, t in docs]
+    parts = [(h, i, 0, s, c, texts[i][s : s + c + 99]) for h, i, s, c in zip(*(x.tolist() for x in suffix.runs(texts, 100, 40)))]
+    alone = [(h, i, 0, s, c, t[s : s + c + 99]) for i, t in enumerate(texts) for h, _, s, c in zip(*(x.tolist() for x in suffix.runs([t], 100, 40)))]
+    assert parts == alone
     h, ids, keys, start, count = (np.array([p[k] for p in parts], np.uint64 if k == 0 else np.int64) for k in range(5))
     found = list(suffix.judge(repeats.Stretches(h, ids, keys, start, count, [p[5] for p in parts]), 100))
     got = {(int(ids[r]), int(start[r]) + f + k) for f_ in found for r, f, n in zip(*(x.tolist() for x in f_)) for k in range(n)}
@@ -337,9 +337,9 @@ def test_long_text_in_spans(monkeypatch):
     monkeypatch.setattr(suffix, "_SPAN", 500)
     monkeypatch.setattr(repeats, "_SPAN", 130)
     b = bytes(random.Random(3).choices(b"abc ", k=2000))
-    h, start, count = suffix.runs(b, 100, 40)
+    h, _, start, count = suffix.runs([b], 100, 40)
     assert count.sum() == len(b) - 99 and (start[1:] == start[:-1] + count[:-1]).all()
-    again, *_ = suffix.runs(b[300:], 100, 40)
+    again, *_ = suffix.runs([b[300:]], 100, 40)
     assert set(again[1:-1].tolist()) <= set(h.tolist())
 
 

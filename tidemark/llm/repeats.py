@@ -36,8 +36,8 @@ BUCKET, SHARD, SALTS = 8_000_000, 16_000_000, 1000
 
 
 class Kind:
-    """What a window is. cut: a text's units; runs: of a cut, each run's anchor, first window and number of windows
-    (a byte's worth); stretch: the bytes that cover a run; judge: see `_shard`; report: output columns of a document."""
+    """What a window is. cut: a text's units; runs: of cuts, each run's anchor, the number of its cut, its first window
+    and number of windows (a byte's worth); stretch: the bytes that cover a run; judge: see `_shard`; report: output columns of a document."""
 
     schema: str
     #: Whether equal windows of rows that share an id are repeats, too.
@@ -45,7 +45,7 @@ class Kind:
 
     def cut(self, text: str | None) -> Any: ...
 
-    def runs(self, cut: Any) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
+    def runs(self, cuts: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]: ...
 
     def stretch(self, cut: Any, start: int, count: int) -> bytes: ...
 
@@ -70,9 +70,25 @@ _SPAN = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def anchored(h: np.ndarray, positions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows by the lowest, leftmost of equal ones, of each window's `positions` hashes: that hash, the first
-    window, the number of windows. Equal windows have theirs at the same distance, so no run has the same window twice."""
+def inside(sizes: np.ndarray, width: int) -> np.ndarray:
+    """For each unit of documents that stand one after the other, whether a window that starts there is of one document."""
+    end = np.cumsum(sizes)
+    edge = np.zeros(int(sizes.sum()) + 1, np.int32)
+    np.add.at(edge, np.maximum(end - width + 1, end - sizes), 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge[:-1]) == 0
+
+
+def placed(start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document that each unit is of, and its place there."""
+    end = np.cumsum(sizes)
+    doc = np.searchsorted(end, start, "right")
+    return doc, start - (end - sizes)[doc]
+
+
+def anchored(h: np.ndarray, positions: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of valid windows by the lowest, leftmost of equal ones, of each window's `positions` hashes: that hash, the
+    first window, the number of windows. Equal windows have theirs at the same distance, so no run has a window twice."""
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for base in range(0, max(len(h) - positions + 1, 0), _SPAN):
         some = h[base : base + _SPAN + positions - 1]
@@ -82,9 +98,10 @@ def anchored(h: np.ndarray, positions: int) -> tuple[np.ndarray, np.ndarray, np.
             step *= 2
         if step < positions:
             low = np.minimum(low[: len(low) - (positions - step)], low[positions - step :])
-        at = (low & _LOW).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        parts.append((some[at[start]], start + base, np.diff(np.r_[start, len(at)])))
+        at, ok = (low & _LOW).astype(np.int64), valid[base : base + len(low)]
+        start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (ok[1:] != ok[:-1])])
+        size, keep = np.diff(np.r_[start, len(at)]), ok[start]
+        parts.append((some[at[start[keep]]], start[keep] + base, size[keep]))
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
@@ -96,22 +113,19 @@ class _Bucket:
         ids, keys, texts = (table[c].to_pylist() for c in ("num", "key", "text"))
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, keys[i], texts[i] or ""))
         self.of = np.zeros(len(ids), np.int64)  # the document of each row
-        self.ids, self.keys, self.cuts, found = [], [], [], []
+        self.ids, self.keys, self.cuts, searched = [], [], [], []
         last: Any = ()
         for i in order:
             now = (ids[i], keys[i], texts[i] or "")
             if now != last:
                 cut = kind.cut(texts[i])
-                if ids[i] is not None:
-                    h, start, count = kind.runs(cut)
-                    found.append((h, np.full(len(h), len(self.ids)), start, count))
+                searched.append(cut if ids[i] is not None else cut[:0])
                 self.ids.append(ids[i])
                 self.keys.append(keys[i])
                 self.cuts.append(cut)
                 last = now
             self.of[i] = len(self.ids) - 1
-        empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-        self.h, self.doc, self.start, self.count = (np.concatenate([e, *[f[i] for f in found]]) for i, e in enumerate(empty))
+        self.h, self.doc, self.start, self.count = kind.runs(searched)
 
     def ranked(self, runs: np.ndarray) -> np.ndarray:
         """By id, first window and document."""

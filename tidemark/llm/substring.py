@@ -15,7 +15,8 @@ columns don't take part.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -45,16 +46,16 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass"))
 
 
-def runs(words: list[bytes], width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of neighbouring windows with one anchor: the anchor's hash, the first window, the number of windows."""
-    n = len(words) - k + 1
-    if len(words) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def runs(texts: Sequence[list[bytes]], width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of neighbouring windows with one anchor: the anchor's hash, the text, the first window, the number of windows."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
+    n = max(len(w) - k + 1, 0)
     h = np.zeros(n, np.uint64)
     for i in range(k):
         h = h * _A + w[i : i + n]
-    return repeats.anchored(sketch.mix(h), width - k + 1)
+    low, start, count = repeats.anchored(sketch.mix(h), width - k + 1, repeats.inside(sizes, width))
+    return low, *repeats.placed(start, sizes), count
 
 
 def _spans(row: int, off: list[bool]) -> Iterator[tuple[int, int, int]]:
@@ -110,8 +111,8 @@ class Words(repeats.Kind):
     def cut(self, text: str | None) -> list[bytes]:
         return words_of(text)
 
-    def runs(self, cut: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return runs(cut, self.width, self.anchor)
+    def runs(self, cuts: Sequence[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return runs(cuts, self.width, self.anchor)
 
     def stretch(self, cut: list[bytes], start: int, count: int) -> bytes:
         return b" ".join(cut[start : start + count + self.width - 1])

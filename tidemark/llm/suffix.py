@@ -13,7 +13,7 @@ gives an empty table; other columns don't take part. A byte that goes on for meg
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -50,16 +50,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([one, np.cumprod(np.full(n, x, np.uint64))]) for x in (_P, inverse))
 
 
-def runs(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of neighbouring windows with one anchor: the anchor's hash, the first window, the number of windows."""
+def runs(texts: Sequence[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of neighbouring windows with one anchor: the anchor's hash, the text, the first window, the number of windows."""
+    whole, sizes = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+    valid = repeats.inside(sizes, length)
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for base in range(0, max(len(text) - length + 1, 0), _SPAN):
-        raw = np.frombuffer(text, np.uint8)[base : base + _SPAN + length - 1]
+    for base in range(0, max(len(whole) - length + 1, 0), _SPAN):
+        raw = np.frombuffer(whole, np.uint8)[base : base + _SPAN + length - 1]
         up, down = _powers(1 << max(12, (len(raw) - 1).bit_length()))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-        low, start, count = repeats.anchored(sketch.mix((total[k:] - total[:-k]) * down[: len(raw) - k + 1]), length - k + 1)
+        h = sketch.mix((total[k:] - total[:-k]) * down[: len(raw) - k + 1])
+        low, start, count = repeats.anchored(h, length - k + 1, valid[base : base + len(raw) - length + 1])
         parts.append((low, start + base, count))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+    low, start, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return low, *repeats.placed(start, sizes), count
 
 
 def _nearest_smaller(pos: np.ndarray) -> np.ndarray:
@@ -187,8 +191,8 @@ class Bytes(repeats.Kind):
     def cut(self, text: str | None) -> bytes:
         return (text or "").encode("utf-8", "surrogatepass")
 
-    def runs(self, cut: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return runs(cut, self.length, self.anchor)
+    def runs(self, cuts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return runs(cuts, self.length, self.anchor)
 
     def stretch(self, cut: bytes, start: int, count: int) -> bytes:
         return cut[start : start + count + self.length - 1]
