@@ -33,6 +33,8 @@ from .common import partitions, release
 
 #: Bytes of text in a bucket, and of an input in a shard of anchors; buckets that equal rows are dealt over.
 BUCKET, SHARD, SALTS = 8_000_000, 16_000_000, 1000
+#: Bytes of input after which a worker gives memory back.
+REST = 16_000_000
 
 
 class Kind:
@@ -156,6 +158,18 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+_seen = 0
+
+
+def _rest(table: pa.Table) -> None:
+    """Gives memory back after every so many bytes of input; giving it back costs as much as a small bucket."""
+    global _seen
+    _seen += table.nbytes
+    if _seen > REST:
+        _seen = 0
+        release()
+
+
 _TOUCHED = "chunk int, bucket int, once binary, twice binary"
 _ANSWERED = "bucket int, chunk int, bits binary"
 _SENT = "shard int, bucket int, h binary, docs binary, ids binary, keys binary, start binary, count binary, size binary, text binary"
@@ -168,7 +182,7 @@ def _touch(kind: Kind, form: sketch.Shape):
     def run(table: pa.Table) -> pa.Table:
         found = list(sketch.touched(_Bucket(kind, table).h, form))
         bucket = table["bucket"][0].as_py()
-        release()
+        _rest(table)
         return _batch(out, [[f[0] for f in found], [bucket] * len(found), [f[1] for f in found], [f[2] for f in found]])
 
     return run
@@ -206,7 +220,7 @@ def _send(kind: Kind, form: sketch.Shape, shards: int):
                 int(shard[some[0]]), bucket, b.h[runs].tobytes(), sketch.pack(mine.astype(np.uint32)), sketch.pack(np.stack([docs_, ids[docs_]])), keys[docs_].tobytes(), sketch.pack(b.start[runs]), sketch.pack(b.count[runs].astype(np.uint8)),
                 sketch.pack(np.array([len(p) for p in parts], np.uint32)), sketch.pack(np.frombuffer(b"".join(parts), np.uint8)),
             ))
-        release()
+        _rest(docs)
         return _batch(out, list(zip(*rows)))
 
     return run
@@ -232,7 +246,7 @@ def _shard(kind: Kind):
         row, first, n = row[order], first[order], n[order]
         cut = np.flatnonzero(np.r_[True, np.diff(bucket[row]) != 0, True]) if len(row) else np.zeros(1, np.int64)
         rows = [(int(bucket[row[a]]), *(sketch.pack(x[a:z]) for x in (docs[row], start[row], first, n))) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        release()
+        _rest(table)
         return _batch(out, list(zip(*rows)))
 
     return run
@@ -266,7 +280,7 @@ def _decide(kind: Kind, schema: str):
                 gone.setdefault(d, []).extend((s + f, m) for f, m in told[lead[k]])
         reports = [kind.report(cut, *np.array(gone.get(d, empty), np.int64).reshape(-1, 2).T) for d, cut in enumerate(b.cuts)]
         columns = list(zip(*reports))
-        release()
+        _rest(docs)
         return _batch(out, [docs["id"].combine_chunks(), *([c[d] for d in b.of.tolist()] for c in columns)])
 
     return run

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -48,13 +49,19 @@ def cells(h: np.ndarray, row: int, form: Shape) -> np.ndarray:
     return ((g >> _32) * np.uint64(form.chunks) >> _32) << _32 | (g & _LOW) * np.uint64(form.width) >> _32
 
 
+@lru_cache(maxsize=1)
+def _tools() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a worker, which has one thread."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array of whole numbers, its bytes by significance, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    return _tools()[0].compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    raw = np.frombuffer(_tools()[1].decompress(b), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
 
