@@ -234,6 +234,34 @@ def test_kernel_is_a_product():
     assert langid._scaled(a, bins) @ langid._scaled(b, bins) == pytest.approx(want, rel=1e-5)
 
 
+def test_ridge_on_landmark_features():
+    """The model's matrix of n-grams by languages gives what kernels, landmarks and a ridge solved otherwise give."""
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdeé ", "bb": "cdefgß ", "cc": "efghñx "}
+    rows = [("".join(rng.choice(a) for _ in range(60)), k) for k, a in alphabets.items() for _ in range(14 if k == "aa" else 8)]
+    landmarks, ridge = 5, 1e-2
+    model = langid.train(rows, landmarks, ridge)
+
+    def kernel(x, y):
+        return np.mean([(a & b).sum() / np.sqrt(a.sum() * b.sum()) for a, b in zip(langid.presence(x), langid.presence(y))])
+
+    marks = [t for k in sorted(alphabets) for t in [t for t, g in rows if g == k][:landmarks]]
+    value, vector = np.linalg.eigh(np.array([[kernel(x, y) for y in marks] for x in marks]))
+    features = lambda texts: np.array([[kernel(t, m) for m in marks] for t in texts]) @ (vector / np.sqrt(value))
+    x, count = features([t for t, _ in rows]), Counter(k for _, k in rows)
+    w = np.array([1 / (3 * count[k]) for _, k in rows])
+    # least squares with the penalty as rows of their own; the constant isn't penalised
+    left = np.vstack([np.sqrt(w)[:, None] * np.hstack([x, np.ones((len(x), 1))]), np.sqrt(ridge) * np.eye(len(marks), len(marks) + 1)])
+    y = np.array([[1.0 if g == k else -1.0 for k in sorted(alphabets)] for _, g in rows])
+    beta = np.linalg.lstsq(left, np.vstack([np.sqrt(w)[:, None] * y, np.zeros((len(marks), 3))]), rcond=None)[0]
+    new = ["".join(rng.choice(a) for _ in range(40)) for a in alphabets.values() for _ in range(6)]
+    want = np.hstack([features(new), np.ones((len(new), 1))]) @ beta
+    got = np.stack([langid._scaled(langid.presence(t), model.bins) for t in new]) @ model.weights + model.bias
+    assert np.allclose(got, want, atol=2e-3)
+    langs, scores = model.score(new)
+    assert langs == [sorted(alphabets)[i] for i in want.argmax(axis=1)] and np.allclose(scores, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=2e-3)
+
+
 # quality
 
 
