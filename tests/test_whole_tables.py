@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from datetime import date, datetime
@@ -30,6 +31,25 @@ def test_tfidf_whole_texts(spark, tmp_path):
     assert all(got[t][0] == n and got[t][1] == pytest.approx(idf, abs=1e-6) for t, (n, idf) in want.items())
 
 
+@pytest.mark.parametrize("often", [20_000, 12])
+def test_pairs_of_rare_words_change_nothing(spark, monkeypatch, often):
+    """The best terms by brute force, with pairs left out by their words and, where too many words tie, without."""
+    monkeypatch.setattr(canary, "OFTEN", often)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["red", "blue", "green", "x1", "x2", *(f"w{k}" for k in range(30))][: rng.choice((5, 35))]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    count, docs = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        terms = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        count.update(terms)
+        docs.update(set(terms))
+    best = sorted((t for t in docs if docs[t] >= 2), key=lambda t: (-count[t], t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (8, 40, 5000):
+        got = {r.term: r.df for r in canary.term_weights(df, max_features=n, stop_words=[]).collect()}
+        assert got == {t: docs[t] for t in best[:n]}
+
+
 def test_tfidf_features(spark):
     """Unit vectors of tf * idf by hand, with the vocabulary and idf of the training rows alone."""
     train = ["market falls market", "market rises", "falls and rises", None, "unseen once"]

@@ -18,6 +18,8 @@ from .metrics import rank_auc
 from .splits import time_holdout
 
 MAX_FEATURES, MIN_DOCS = 2000, 2
+#: Words that the driver holds, and that pairs are told by.
+OFTEN = 20_000
 FOLDS, C_GRID = 3, tuple(10.0 ** (8 * i / 4 - 4) for i in range(5))
 
 
@@ -32,29 +34,50 @@ def verdict(n: Column, auc: Column) -> Column:
     )
 
 
-def terms(df: DataFrame, text: str = "text", out: str = "terms", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Words of two letters or more, in lower case, without (by default English) stop words, and pairs of neighbours."""
-    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
-    remover = StopWordsRemover(inputCol="__words", outputCol="__kept", locale="en_US")
+def words(df: DataFrame, text: str = "text", out: str = "words", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Words of two letters or more, in lower case, without (by default English) stop words."""
+    split = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
+    remover = StopWordsRemover(inputCol="__words", outputCol=out, locale="en_US")
     if stop_words is not None:
         remover = remover.setStopWords(list(stop_words))
-    kept = remover.transform(words)
-    pairs = NGram(n=2, inputCol="__kept", outputCol="__pairs").transform(kept)
-    return pairs.withColumn(out, F.concat("__kept", "__pairs")).drop("__text", "__words", "__kept", "__pairs")
+    return remover.transform(split).drop("__text", "__words")
+
+
+def terms(df: DataFrame, text: str = "text", out: str = "terms", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """The words, and pairs of neighbours."""
+    pairs = NGram(n=2, inputCol="__kept", outputCol="__pairs").transform(words(df, text, "__kept", stop_words))
+    return pairs.withColumn(out, F.concat("__kept", "__pairs")).drop("__kept", "__pairs")
+
+
+def _marked(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each term of a text, new 0, and one for each distinct term, new 1: one grouping gives both counts."""
+    both = F.concat(F.transform(column, lambda x: F.struct(x.alias("term"), F.lit(0).alias("new"))), F.transform(F.array_distinct(column), lambda x: F.struct(x.alias("term"), F.lit(1).alias("new"))))
+    return rows.select(F.inline(both))
+
+
+def _counted(marked: DataFrame, min_docs: int) -> DataFrame:
+    return marked.groupBy("term").agg(F.sum("new").alias("df"), F.sum(1 - F.col("new")).alias("c")).where(F.col("df") >= min_docs)
 
 
 def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, stop_words: Sequence[str] | None = None) -> DataFrame:
     """(term, df, idf) of the terms with the highest counts in at least `min_docs` texts; ties by the term.
 
-    idf is smoothed: ln((1 + n) / (1 + df)) + 1.
+    idf is smoothed: ln((1 + n) / (1 + df)) + 1. A pair occurs at most as often as each of its words, so pairs of words
+    that are rarer than the last word that could be among the best are left out before they are counted; where more
+    than OFTEN words (or max_features) tie there, none is.
     """
-    rows = terms(df.select(key, text), text, stop_words=stop_words)
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    # one grouping gives both counts: a row for each term, and one for each distinct term of a text
-    both = F.concat(F.transform("terms", lambda x: F.struct(x.alias("term"), F.lit(0).alias("new"))), F.transform(F.array_distinct("terms"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("new"))))
-    marked = rows.select(F.explode(both).alias("m"))
-    per = marked.groupBy(F.col("m.term").alias("term")).agg(F.sum("m.new").alias("df"), F.sum(1 - F.col("m.new")).alias("c")).where(F.col("df") >= min_docs)
-    top = per.orderBy(F.desc("c"), "term").limit(max_features)  # the feature itself is a bounded vocabulary
+    spark, bound = df.sparkSession, max(OFTEN, max_features)
+    rows = words(df.select(text), text, "w", stop_words).select("w")
+    known = _counted(_marked(rows, "w"), min_docs).orderBy(F.desc("c"), "term").limit(bound + 1).collect()
+    least = known[max_features - 1]["c"] if len(known) >= max_features else 0
+    pairs = _marked(NGram(n=2, inputCol="w", outputCol="p").transform(rows), "p")
+    if len(known) <= bound or known[-1]["c"] < least:
+        often = F.broadcast(spark.createDataFrame([(r["term"],) for r in known if r["c"] >= least], "word string"))
+        for i in (0, 1):
+            pairs = pairs.join(often, F.split("term", " ")[i] == often["word"], "left_semi")
+    best = spark.createDataFrame([tuple(r) for r in known[:max_features]], "term string, df long, c long").unionByName(_counted(pairs, min_docs))
+    top = best.orderBy(F.desc("c"), "term").limit(max_features)  # the feature itself is a bounded vocabulary
+    total = df.agg(F.count(F.lit(1)).alias("n"))
     return top.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
