@@ -68,14 +68,24 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
     """
     spark, bound = df.sparkSession, max(OFTEN, max_features)
     rows = words(df.select(text), text, "w", stop_words).select("w")
-    known = _counted(_marked(rows, "w"), min_docs).orderBy(F.desc("c"), "term").limit(bound + 1).collect()
-    least = known[max_features - 1]["c"] if len(known) >= max_features else 0
+    single = _counted(_marked(rows, "w"), min_docs).cache()
+    # the count of the last word that could be among the best, from how many words have each count
+    least, left = 0, max_features
+    for r in single.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(max_features).collect():
+        least, left = r["c"], left - r["n"]
+        if left <= 0:
+            break
+    least = least if left <= 0 else 0
+    known = single.where(F.col("c") >= least).limit(bound + 1).collect()
     pairs = _marked(NGram(n=2, inputCol="w", outputCol="p").transform(rows), "p")
-    if len(known) <= bound or known[-1]["c"] < least:
-        often = F.broadcast(spark.createDataFrame([(r["term"],) for r in known if r["c"] >= least], "word string"))
+    if len(known) <= bound:
+        often = F.broadcast(spark.createDataFrame([(r["term"],) for r in known], "word string"))
         for i in (0, 1):
             pairs = pairs.join(often, F.split("term", " ")[i] == often["word"], "left_semi")
-    best = spark.createDataFrame([tuple(r) for r in known[:max_features]], "term string, df long, c long").unionByName(_counted(pairs, min_docs))
+    else:
+        known = single.orderBy(F.desc("c"), "term").limit(max_features).collect()
+    single.unpersist()
+    best = spark.createDataFrame([tuple(r) for r in known], "term string, df long, c long").unionByName(_counted(pairs, min_docs).where(F.col("c") >= least))
     top = best.orderBy(F.desc("c"), "term").limit(max_features)  # the feature itself is a bounded vocabulary
     total = df.agg(F.count(F.lit(1)).alias("n"))
     return top.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
