@@ -51,8 +51,8 @@ def terms(df: DataFrame, text: str = "text", out: str = "terms", stop_words: Seq
 
 def _marked(rows: DataFrame, column: str) -> DataFrame:
     """A row for each term of a text, new 0, and one for each distinct term, new 1: one grouping gives both counts."""
-    both = F.concat(F.transform(column, lambda x: F.struct(x.alias("term"), F.lit(0).alias("new"))), F.transform(F.array_distinct(column), lambda x: F.struct(x.alias("term"), F.lit(1).alias("new"))))
-    return rows.select(F.inline(both))
+    both = rows.select(F.size(column).alias("n"), F.posexplode(F.concat(column, F.array_distinct(column))).alias("at", "term"))
+    return both.select("term", (F.col("at") >= F.col("n")).cast("int").alias("new"))
 
 
 def _counted(marked: DataFrame, min_docs: int) -> DataFrame:
@@ -80,8 +80,8 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
     pairs = _marked(NGram(n=2, inputCol="w", outputCol="p").transform(rows), "p")
     if len(known) <= bound:
         often = F.broadcast(spark.createDataFrame([(r["term"],) for r in known], "word string"))
-        for i in (0, 1):
-            pairs = pairs.join(often, F.split("term", " ")[i] == often["word"], "left_semi")
+        for i in (1, -1):
+            pairs = pairs.join(often, F.substring_index("term", " ", i) == often["word"], "left_semi")
     else:
         known = single.orderBy(F.desc("c"), "term").limit(max_features).collect()
     single.unpersist()
