@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, exact_dedup, html, langid, mixing, quality, simhash, substring, suffix
+from . import audit, bpe, embedding, exact_dedup, html, langid, mixing, quality, runs, simhash, substring, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring": substring.op8_substring,
         "op9_quality": quality.op9_quality,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_audit": audit.op12_audit,
+        "op13_runs": runs.op13_runs,
     }
 
 
@@ -31,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.ORACLE_SQL,
         "op8_substring": substring.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_audit": audit.ORACLE_SQL,
     }
