@@ -21,16 +21,18 @@ def ordinals(sessions: DataFrame, day: str = "trade_date", by: list[str] | None
     return sessions.select(*keys, day).distinct().withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(day)))
 
 
-def next_session_map(sessions: DataFrame, day: str = "trade_date", by: list[str] | None = None) -> DataFrame:
-    """(group, target, session): the first session at or after each day, to the group's last session.
+def next_session_map(sessions: DataFrame, day: str = "trade_date", by: list[str] | None = None, first: DataFrame | None = None) -> DataFrame:
+    """(group, target, session, ...): the first session at or after each day, to the group's last session.
 
-    Days begin with the first session of any group, so that a group's own first session is found from there on.
+    Days begin with the first session of any group, so that a group's own first session is found from there on. sessions
+    are distinct, and may have more columns, which are spread with them.
     """
     keys = by or []
-    distinct = sessions.select(*keys, day).distinct().crossJoin(F.broadcast(first_session(sessions, day)))
+    more = [c for c in sessions.columns if c not in (*keys, day)]
+    dated = sessions.crossJoin(F.broadcast(first_session(sessions, day) if first is None else first))
     before = F.lag(day).over(Window.partitionBy(*keys).orderBy(day))
-    spans = distinct.select(*keys, F.col(day).alias("session"), F.coalesce(F.date_add(before, 1), F.col("__first")).alias("from"))
-    return spans.select(*keys, F.explode(F.sequence("from", "session")).alias("target"), "session")
+    spans = dated.select(*keys, F.col(day).alias("session"), F.coalesce(F.date_add(before, 1), F.col("__first")).alias("from"), *more)
+    return spans.where(F.col("from") <= F.col("session")).select(*keys, F.explode(F.sequence("from", "session")).alias("target"), "session", *more)
 
 
 def first_session(sessions: DataFrame, day: str = "trade_date") -> DataFrame:
@@ -48,14 +50,14 @@ def target_day(ts: Column, inclusive: bool) -> Column:
 def resolve(events: DataFrame, sessions: DataFrame, ts: str, out: str, inclusive: bool = False, day: str = "trade_date", by: list[str] | None = None, beside: DataFrame | None = None) -> DataFrame:
     """Adds the first session whose open comes after ts (or at it); null after the last session.
 
-    beside: more columns by group and session, joined to the calendar, so that events are shuffled once.
+    beside: the same sessions once each, as column `out`, with more columns, which come along: events are shuffled once,
+    and sessions are read only for their first day.
     """
-    keys = by or []
+    keys, first = by or [], first_session(sessions, day)
     target = F.when(target_day(F.col(ts), inclusive).isNotNull(), F.greatest(target_day(F.col(ts), inclusive), F.col("__first")))
-    known = events.crossJoin(F.broadcast(first_session(sessions, day))).withColumn("__target", target).drop("__first")
-    dense = next_session_map(sessions, day, by).withColumnsRenamed({"target": "__target", "session": out})
-    if beside is not None:
-        dense = dense.join(beside, [*keys, out], "left")
+    known = events.crossJoin(F.broadcast(first)).withColumn("__target", target).drop("__first")
+    spread = next_session_map(sessions.select(*keys, day).distinct(), day, by, first) if beside is None else next_session_map(beside, out, by, first)
+    dense = spread.withColumnsRenamed({"target": "__target", "session": out})
     return known.join(dense, [*keys, "__target"], "left").drop("__target")
 
 

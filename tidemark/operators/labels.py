@@ -2,18 +2,20 @@
 
 The betas of a session come from covariances over the sessions [-250, -30) of the factor calendar; residual sigma
 and cumulative abnormal returns follow from moments of their windows, so nothing is expanded to event times day and
-no row leaves the JVM. Betas are fitted once for all event windows.
+no row leaves the JVM. Moments of long windows are merged from the ends of two blocks (`moments.py`), so a row costs the
+same whatever the window's length. Betas are fitted once for all event windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean, direction_label, materiality_label, solve_spd, z_score
 from . import calendar
+from .moments import frame_moments, pair
 from .returns import FACTOR_NAMES
 
 EST, IDIO = (-250, -30), (-60, -30)
@@ -22,8 +24,8 @@ MIN_ROWS, MIN_COMPLETE, MIN_IDIO = 60, 30, 10
 
 def panel(prices: DataFrame, factors: DataFrame, day: str = "trade_date") -> DataFrame:
     """Sessions with two ordinals: fq on the factor calendar, pq on the ticker's own; y, x0..x3 null together."""
-    days = calendar.ordinals(factors.withColumnRenamed("date", day), day, name="fq")
-    known = factors.withColumnRenamed("date", day).join(days, day)
+    # the calendar of factors has a row a day, whatever the data's size
+    known = factors.withColumnRenamed("date", day).where(F.col(day).isNotNull()).withColumn("fq", F.dense_rank().over(Window.orderBy(day)))
     rows = prices.join(known, day, "left").withColumn("pq", F.row_number().over(Window.partitionBy("ticker").orderBy(day)))
     parts = {"y": clean(F.col("ret")) - clean(F.col("RF"))} | {f"x{i}": clean(F.col(c)) for i, c in enumerate(FACTOR_NAMES)}
     rows = rows.select("ticker", day, "fq", "pq", *[c.alias(f"__{k}") for k, c in parts.items()])
@@ -33,40 +35,41 @@ def panel(prices: DataFrame, factors: DataFrame, day: str = "trade_date") -> Dat
     return rows.select("ticker", day, "fq", "pq", *[F.when(whole, F.col(f"__{k}")).alias(k) for k in parts])
 
 
+_X = tuple(f"x{i}" for i in range(len(FACTOR_NAMES)))
+
+
+def _moments(rows: DataFrame, window: tuple[int, int], out: str) -> DataFrame:
+    return frame_moments(rows, "fq", *window, (*_X, "y"), ["ticker"], out)
+
+
+def _covariance(of: str, a: str, b: str) -> Column:
+    return F.col(f"{of}_{pair(a, b, (*_X, 'y'))}")
+
+
 def factor_model(rows: DataFrame, window: tuple[int, int] = EST) -> DataFrame:
     """Adds alpha, beta0..beta3 and r2 of each session, null where a gate fails or the system is singular."""
-    n = len(FACTOR_NAMES)
-    over = calendar.offset_window("fq", *window, by=["ticker"])
-    moments = {f"m_a_{i}_{j}": F.covar_samp(f"x{i}", f"x{j}").over(over) for i in range(n) for j in range(i + 1)}
-    moments |= {f"m_c_{i}": F.covar_samp(f"x{i}", "y").over(over) for i in range(n)}
-    moments |= {f"mean_{c}": F.avg(c).over(over) for c in ("y", *(f"x{i}" for i in range(n)))}
-    moments |= {"var_y": F.var_samp("y").over(over), "n_complete": F.count("y").over(over), "n_rows": F.count(F.lit(1)).over(over)}
-    out = rows.withColumns(moments)
-    gate = (F.col("n_complete") >= MIN_COMPLETE) & (F.col("n_rows") >= MIN_ROWS) & F.col("fq").isNotNull()
-    system = [[F.col(f"m_a_{max(i, j)}_{min(i, j)}") for j in range(n)] for i in range(n)]
-    out = out.withColumn("m_b", F.when(gate, solve_spd(system, [F.col(f"m_c_{i}") for i in range(n)])))
+    n = len(_X)
+    out = _moments(rows, window, "m")
+    gate = (F.col("m_n") >= MIN_COMPLETE) & (F.col("m_rows") >= MIN_ROWS) & F.col("fq").isNotNull()
+    system = [[_covariance("m", a, b) for b in _X] for a in _X]
+    out = out.withColumn("m_b", F.when(gate, solve_spd(system, [_covariance("m", x, "y") for x in _X])))
     out = out.withColumns({f"beta{i}": F.get("m_b", F.lit(i)) for i in range(n)})
-    alpha, fit = F.col("mean_y"), F.lit(0.0)
-    for i in range(n):
-        alpha = alpha - F.col(f"beta{i}") * F.col(f"mean_x{i}")
-        fit = fit + F.col(f"beta{i}") * F.col(f"m_c_{i}")
-    out = out.withColumns({"alpha": alpha, "r2": F.when(F.col("var_y") > 0, fit / F.col("var_y"))})
-    return out.select(*rows.columns, "alpha", *[f"beta{i}" for i in range(n)], "r2", "n_complete", "n_rows")
+    alpha, fit, var_y = F.col("m_mean_y"), F.lit(0.0), _covariance("m", "y", "y")
+    for i, x in enumerate(_X):
+        alpha = alpha - F.col(f"beta{i}") * F.col(f"m_mean_{x}")
+        fit = fit + F.col(f"beta{i}") * _covariance("m", x, "y")
+    out = out.withColumns({"alpha": alpha, "r2": F.when(var_y > 0, fit / var_y)})
+    return out.select(*rows.columns, "alpha", *[f"beta{i}" for i in range(n)], "r2", F.col("m_n").alias("n_complete"), F.col("m_rows").alias("n_rows"))
 
 
 def idio_sigma(rows: DataFrame, window: tuple[int, int] = IDIO) -> DataFrame:
     """Adds sigma, the residuals' standard deviation over the window with the session's own betas."""
-    n = len(FACTOR_NAMES)
-    over = calendar.offset_window("fq", *window, by=["ticker"])
-    moments = {"s_y": F.var_samp("y").over(over), "s_n": F.count("y").over(over)}
-    moments |= {f"s_c_{i}": F.covar_samp(f"x{i}", "y").over(over) for i in range(n)}
-    moments |= {f"s_a_{i}_{j}": F.covar_samp(f"x{i}", f"x{j}").over(over) for i in range(n) for j in range(i + 1)}
-    out = rows.withColumns(moments)
-    variance = F.col("s_y")
-    for i in range(n):
-        variance = variance - 2 * F.col(f"beta{i}") * F.col(f"s_c_{i}")
-        for j in range(n):
-            variance = variance + F.col(f"beta{i}") * F.col(f"beta{j}") * F.col(f"s_a_{max(i, j)}_{min(i, j)}")
+    out = _moments(rows, window, "s")
+    variance = _covariance("s", "y", "y")
+    for i, a in enumerate(_X):
+        variance = variance - 2 * F.col(f"beta{i}") * _covariance("s", a, "y")
+        for j, b in enumerate(_X):
+            variance = variance + F.col(f"beta{i}") * F.col(f"beta{j}") * _covariance("s", a, b)
     sigma = F.when(F.col("s_n") >= MIN_IDIO, F.sqrt(F.greatest(variance, F.lit(0.0))))
     # greatest() skips nulls, so a null variance has to stay null by itself
     return out.withColumn("sigma", F.when(variance.isNotNull(), sigma)).select(*rows.columns, "sigma")
@@ -103,6 +106,6 @@ def session_labels(prices: DataFrame, factors: DataFrame, windows: Sequence[tupl
 def label_events(events: DataFrame, prices: DataFrame, factors: DataFrame, ts: str = "publish_ts", windows: Sequence[tuple[int, int]] = ((0, 1), (-1, 0))) -> DataFrame:
     """Every event with the labels of the session after it, joined by key; null labels where none can be made."""
     labels = session_labels(prices, factors, windows)
-    # t0 stays only where the event could be labelled
+    # the labelled sessions are the calendar; t0 stays only where the event could be labelled
     found = calendar.next_session(events, prices.select("ticker", "trade_date"), ts, "t0", by=["ticker"], beside=labels)
     return found.withColumn("t0", F.when(F.col("direction").isNotNull(), F.col("t0")))
