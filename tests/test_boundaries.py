@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock, numeric, text
-from tidemark.operators import backtest, calendar, canary, diagnose, features, labels, metrics, returns, splits
+from tidemark.operators import backtest, calendar, canary, diagnose, features, labels, metrics, ranks, returns, splits
+from tidemark.plans import pipelines
 from tidemark.sources import dims, factors, filings, sinks
 
 D = date(2024, 1, 1)
@@ -165,14 +166,33 @@ def test_ranks_of_any_values(spark):
     assert auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
 
 
-def test_rank_windows_are_bounded(spark):
-    """One outlier doesn't put all values into one window; values that all tie are one row."""
-    df = spark.range(20_000).select((F.col("id") / 20_000).alias("v")).unionByName(spark.createDataFrame([(1e12,)], "v double"))
-    counts = df.groupBy("v").agg(F.lit(1.0).alias("n"))
-    power = F.floor(F.log2("v"))
-    sizes = counts.where("v > 0").groupBy(power.alias("p"), F.floor(F.col("v") / F.pow(F.lit(2.0), power.cast("double")) * (1 << 20)).alias("q")).count().agg(F.max("count")).first()[0]
-    assert sizes <= 2
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_rank_windows_are_bounded(spark, monkeypatch, broadcast):
+    """An outlier doesn't put all values into one cell, ties are dealt over many tasks, and a join does what a broadcast does."""
+    monkeypatch.setattr(ranks, "BROADCAST_CELLS", broadcast)
+    df = spark.range(20_000).select((F.col("id") / 20_000).alias("v"), (F.col("id") % 2).alias("g")).unionByName(spark.createDataFrame([(1e12, 0)], "v double, g long"))
+    splitters = df.agg(F.percentile_approx("v", F.expr(f"array({', '.join(f'{i / ranks.SPLITS}D' for i in range(1, ranks.SPLITS))})"), 10 * ranks.SPLITS)).first()[0]
+    assert ranks.with_cell(df, "v", "c", splitters).groupBy("c").count().agg(F.max("count")).first()[0] < 3 * 20_000 / ranks.SPLITS
+    got = metrics.with_rank(df, "v", "r", ["g"]).collect()
+    for g in (0, 1):
+        assert [r.r for r in sorted((r for r in got if r.g == g), key=lambda r: r.v)] == [float(i + 1) for i in range(10_001 - g)]
     assert metrics.with_rank(spark.range(1000).select(F.lit(3.0).alias("v")), "v", "r").agg(F.min("r"), F.max("r")).first() == (500.5, 500.5)
+    assert metrics.with_rank(spark.createDataFrame([], "v double, g long"), "v", "r", ["g"]).collect() == []
+    two = ranks.with_ranks(spark.createDataFrame([(1.0, None), (2.0, 5.0), (2.0, 4.0), (None, None)], "a double, b double"), {"ra": "a", "rb": "b"})
+    assert sorted(map(tuple, two.collect()), key=str) == sorted([(1.0, None, 1.0, None), (2.0, 5.0, 2.5, 2.0), (2.0, 4.0, 2.5, 1.0), (None, None, None, None)], key=str)
+
+
+def test_evaluation_reads_predictions_once(spark, tmp_path):
+    rows = [("AB"[i % 2], "S", f"202{i % 3}-01-0{1 + i % 9} 00:00:00", "up", ["up", "down", None][i % 3], "material" if i % 4 else "immaterial", "material", i / 7 % 1, i / 50, i / 60, 0.1) for i in range(60)]
+    names = "ticker, sector, at, direction, pred_direction, materiality, pred_materiality, pred_p_material, car_0_1, pred_p_up, pred_p_down".split(", ")
+    df = spark.createDataFrame(rows, names).withColumn("publish_ts_utc", F.to_timestamp("at"))
+    df.write.parquet(f"{tmp_path}/p")
+    got = pipelines.evaluate(spark.read.parquet(f"{tmp_path}/p"))
+    assert set(got) == {"overall", "by_ticker", "by_year", "by_sector"}
+    for name, apart in (("by_ticker", metrics.stratified_report(df, "ticker")), ("by_year", metrics.year_strata(df)), ("by_sector", metrics.sector_strata(df))):
+        assert sorted(map(tuple, got[name].collect())) == sorted(map(tuple, apart.collect())) != []
+        assert "InMemoryTableScan" in got[name]._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
 
 
 def test_spearman_p():

@@ -1,9 +1,7 @@
 """Scores of predictions, over all rows or by group.
 
-Every metric takes the group's columns in `by` (none: one row over all). Ranks don't sort all rows in one task: rows are
-counted by value first, so ties are one row, and what lies below a value is added up in three levels: by sign and power
-of two, by the next 20 bits within that, and by value within those. No window has more rows than that many powers or
-bits, or the distinct values that agree to a millionth, whatever outliers there are.
+Every metric takes the group's columns in `by` (none: one row over all). Ranks are those of `ranks.py`: exact, and no
+task sorts everything.
 """
 
 from __future__ import annotations
@@ -11,48 +9,34 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean, direction_score
+from .ranks import null_safe, with_ranks
+
 
 def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Joins on keys where null equals null; b's keys go."""
-    named = b.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in b.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    return (a.join(named, on, how) if keys else a.crossJoin(F.broadcast(named))).drop(*[f"__k_{k}" for k in keys])
-
-
-def _below(counts: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
-    """Adds `below`, the weight of the group's smaller values; counts has a row for each value of a group."""
-    size = F.abs(F.col(value))
-    power = F.greatest(F.least(F.floor(F.log2(F.when(size > 0, size))), F.lit(1023)), F.lit(-1000))
-    sign = F.signum(F.col(value)).cast("long")
-    rows = counts.withColumn("__p", F.coalesce(sign * (power + 1100), F.lit(0)))
-    rows = rows.withColumn("__q", F.coalesce(sign * F.floor(F.least(size / F.pow(F.lit(2.0), power.cast("double")) * (1 << 20), F.lit(2.0**40))), F.lit(0)))
-    before = lambda keys, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    fine = rows.groupBy(*by, "__p", "__q").agg(F.sum(weight).alias("__w"))
-    coarse = fine.groupBy(*by, "__p").agg(F.sum("__w").alias("__w"))
-    coarse = coarse.withColumn("__a", before(by, "__p", "__w")).drop("__w")
-    fine = _null_safe(fine.withColumn("__b", before([*by, "__p"], "__q", "__w")).drop("__w"), coarse, [*by, "__p"])
-    rows = _null_safe(rows.withColumn("__c", before([*by, "__p", "__q"], value, weight)), fine, [*by, "__p", "__q"])
-    return rows.withColumn("below", F.col("__a") + F.col("__b") + F.col("__c")).drop("__a", "__b", "__c", "__p", "__q")
+    """Joins on keys where null equals null; without keys, both have one row."""
+    return null_safe(a, b, keys, how) if keys else a.crossJoin(F.broadcast(b))
 
 
 def with_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Adds the rank of value in its group, from 1, ties averaged. Rows without a value must be gone."""
-    by = by or []
-    counts = _below(df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("__n")), value, "__n", by)
-    return _null_safe(df, counts.select(*by, value, (F.col("below") + (F.col("__n") + 1) / 2).alias(out)), [*by, value])
+    """Adds the rank of value in its group, from 1, ties averaged."""
+    return with_ranks(df, {out: value}, by)
+
+
+def auc_of(label: Column, rank: Column) -> Column:
+    """The aggregate AUC of rows with a label, 0 or 1, and a rank; null where the label has one class."""
+    pos, neg = F.sum(label.cast("double")), F.sum(1 - label.cast("double"))
+    return F.try_divide(F.sum(F.when(label == 1, rank)) - pos * (pos + 1) / 2, pos * neg)
 
 
 def rank_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """auc by group: exact, ties averaged; null where the label has one class. label is 0 or 1."""
+    """auc by group: ties averaged; null where the label has one class. label is 0 or 1."""
     by = by or []
-    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score)
-    counts = _below(counts.agg(F.sum(label).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg")), score, "neg", by)
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    return counts.groupBy(*by).agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).alias("__y"), F.col(score).alias("__s"))
+    return with_ranks(rows, {"__r": "__s"}, by).groupBy(*by).agg(auc_of(F.col("__y"), F.col("__r")).alias("auc"))
 
 
 def confusion(df: DataFrame, by: list[str] | None = None, truth: str = "direction", pred: str = "pred_direction") -> DataFrame:
@@ -156,14 +140,22 @@ def p_value(rho: Column, n: Column) -> Column:
     return p(rho, n)
 
 
+def _signal(df: DataFrame) -> Column:
+    return clean((F.col("pred_p_up") - F.col("pred_p_down")).cast("double")) if has_probabilities(df) else direction_score(F.col("pred_direction"))
+
+
+def _rho(s: str, c: str, rs: str, rc: str) -> tuple[Column, Column, Column]:
+    """The aggregates n, whether a side is constant, and the ranks' correlation, of rows that have both sides or none."""
+    flat = (F.stddev_pop(s) < 1e-12) | (F.stddev_pop(c) < 1e-12)
+    return F.count(s), flat, F.try_divide(F.covar_pop(rs, rc), F.stddev_pop(rs) * F.stddev_pop(rc))
+
+
 def spearman_ic(df: DataFrame, by: list[str] | None = None, with_p: bool = False) -> DataFrame:
     """n, spearman_rho, note, score_uses_probs by group, of score and car_0_1; under five rows only n."""
     by, probs = by or [], has_probabilities(df)
-    score = clean((F.col("pred_p_up") - F.col("pred_p_down")).cast("double")) if probs else direction_score(F.col("pred_direction"))
-    rows = df.select(*by, score.alias("s"), clean(F.col("car_0_1").cast("double")).alias("c")).where("s IS NOT NULL AND c IS NOT NULL")
-    ranked = with_rank(with_rank(rows, "s", "rs", by), "c", "rc", by)
-    flat = (F.stddev_pop("s") < 1e-12) | (F.stddev_pop("c") < 1e-12)
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), flat.alias("flat"), F.try_divide(F.covar_pop("rs", "rc"), F.stddev_pop("rs") * F.stddev_pop("rc")).alias("rho"))
+    rows = df.select(*by, _signal(df).alias("s"), clean(F.col("car_0_1").cast("double")).alias("c")).where("s IS NOT NULL AND c IS NOT NULL")
+    n, flat, rho = _rho("s", "c", "rs", "rc")
+    out = with_ranks(rows, {"rs": "s", "rc": "c"}, by).groupBy(*by).agg(n.alias("n"), flat.alias("flat"), rho.alias("rho"))
     few = F.col("n") < 5
     out = out.select(
         *by, "n", F.when(~few & ~F.col("flat"), clean(F.col("rho"))).alias("spearman_rho"), F.when(~few & F.col("flat"), F.lit("constant input")).alias("note"), F.when(~few, F.lit(probs)).alias("score_uses_probs")
@@ -171,21 +163,36 @@ def spearman_ic(df: DataFrame, by: list[str] | None = None, with_p: bool = False
     return out.withColumn("p_value", p_value(F.col("spearman_rho"), F.col("n"))) if with_p else out
 
 
-def stratified_report(df: DataFrame, by: str, min_n: int = 10) -> DataFrame:
-    """key, n, direction_accuracy, spearman, materiality_auc of each group of `min_n` rows or more.
+def strata_report(df: DataFrame, strata: dict[str, Column], min_n: int = 10) -> DataFrame:
+    """stratum, key, n, direction_accuracy, spearman, materiality_auc of each group of `min_n` rows or more.
 
-    A missing prediction counts as wrong. Rows without a key form no group.
+    strata: the key of each kind of group; a row without one is in none of that kind. All kinds come from the same pass: a
+    row is repeated for each, as grouping sets do, and ranked in each. A missing prediction counts as wrong.
     """
-    rows = df.where(F.col(by).isNotNull())
-    hit = F.coalesce((F.col("direction") == F.col("pred_direction")).cast("double"), F.lit(0.0))
-    one = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("direction_accuracy")).where(F.col("n") >= min_n)
-    ic = spearman_ic(rows, [by]).select(by, F.col("spearman_rho").alias("spearman"))
-    auc = materiality_metrics(rows, [by]).select(by, F.col("auc").alias("materiality_auc"))
-    return one.join(ic, by, "left").join(auc, by, "left").select(F.col(by).cast("string").alias("key"), "n", "direction_accuracy", "spearman", "materiality_auc")
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("stratum"), c.cast("string").alias("key")) for k, c in strata.items()]))
+    both = F.col("pred_materiality").isNotNull() & F.col("materiality").isNotNull()
+    m = (F.col("pred_materiality") == "material").cast("double") if "pred_p_material" not in df.columns else clean(F.col("pred_p_material").cast("double"))
+    s, c = _signal(df), clean(F.col("car_0_1").cast("double"))
+    rows = df.select(
+        at.alias("at"), F.coalesce((F.col("direction") == F.col("pred_direction")).cast("double"), F.lit(0.0)).alias("hit"),
+        F.when(c.isNotNull(), s).alias("s"), F.when(s.isNotNull(), c).alias("c"), F.when(both, m).alias("m"), F.when(both & m.isNotNull(), (F.col("materiality") == "material").cast("int")).alias("y"),
+    )
+    rows = rows.select("at.stratum", "at.key", "hit", "s", "c", "m", "y").where("key IS NOT NULL")
+    n, flat, rho = _rho("s", "c", "rs", "rc")
+    out = with_ranks(rows, {"rs": "s", "rc": "c", "rm": "m"}, ["stratum", "key"]).groupBy("stratum", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("hit").alias("direction_accuracy"), n.alias("pairs"), flat.alias("flat"), rho.alias("rho"), auc_of(F.col("y"), F.col("rm")).alias("materiality_auc")
+    )
+    spearman = F.when((F.col("pairs") >= 5) & ~F.col("flat"), clean(F.col("rho")))
+    return out.where(F.col("n") >= min_n).select("stratum", "key", "n", "direction_accuracy", spearman.alias("spearman"), "materiality_auc")
+
+
+def stratified_report(df: DataFrame, by: str, min_n: int = 10) -> DataFrame:
+    """key, n, direction_accuracy, spearman, materiality_auc of each group of `min_n` rows or more."""
+    return strata_report(df, {by: F.col(by)}, min_n).drop("stratum")
 
 
 def year_strata(df: DataFrame, ts: str = "publish_ts_utc", min_n: int = 10) -> DataFrame:
-    return stratified_report(df.withColumn("year", F.year(ts)), "year", min_n)
+    return strata_report(df, {"year": F.year(ts)}, min_n).drop("stratum")
 
 
 def sector_strata(df: DataFrame, min_n: int = 10) -> DataFrame | None:

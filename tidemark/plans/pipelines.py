@@ -128,11 +128,15 @@ def for_each_cell(cells: list[tuple[str, int]], work: Callable[[str, int], objec
 
 
 def evaluate(predictions: DataFrame) -> dict[str, DataFrame]:
-    """Overall and by ticker, year and, where there is one, sector."""
-    out = {"overall": metrics.overall_report(predictions), "by_ticker": metrics.stratified_report(predictions, "ticker"), "by_year": metrics.year_strata(predictions)}
-    if (sector := metrics.sector_strata(predictions)) is not None:
-        out["by_sector"] = sector
-    return out
+    """Overall and by ticker, year and, where there is one, sector.
+
+    Predictions are read once: their columns that reports use are persisted. All strata come from one pass over them.
+    """
+    used = ("ticker", "sector", "publish_ts_utc", "direction", "pred_direction", "materiality", "pred_materiality", "car_0_1", "pred_p_up", "pred_p_down", "pred_p_material")
+    kept = predictions.select(*[c for c in used if c in predictions.columns]).persist()
+    strata = {"ticker": F.col("ticker"), "year": F.year("publish_ts_utc")} | ({"sector": F.col("sector")} if "sector" in predictions.columns else {})
+    report = metrics.strata_report(kept, strata).persist()  # a few rows a group
+    return {"overall": metrics.overall_report(kept)} | {f"by_{k}": report.where(F.col("stratum") == k).drop("stratum") for k in strata}
 
 
 def canary_report(events: DataFrame, **how) -> DataFrame:
