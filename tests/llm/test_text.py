@@ -144,6 +144,23 @@ def test_the_cut_overrules_a_class_word():
     assert html.main_text(page) == f"{LONG}\nThe price of a share fell.\n{LONG}"
 
 
+@pytest.mark.parametrize("outer", ["main", "article", 'div class="content"'])
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ('<h2 id="search">Search</h2>', "Search"), ('<h2 id="comments">Comments on the law</h2>', "Comments on the law"), ('<h2 id="share-of-votes">Share of votes</h2>', "Share of votes"), ('<h3 id="legal-notice">Legal notice</h3>', "Legal notice"),
+        (f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section>', f"Discussion\n{LONG}"), (f'<section id="related-work"><h2>Related work</h2><p>{LONG}</p></section>', f"Related work\n{LONG}"), (f'<div class="related-work"><p>{LONG}</p></div>', LONG),
+        ('<p>He sent a <span class="reply">short reply</span> to the court on Monday.</p>', "He sent a short reply to the court on Monday."), ('<p>Press <code class="menu">File</code> and go on.</p>', "Press File and go on."),
+        ('<p>It has <span class="tags">three tags</span> and an <em class="promo">offer</em> in it.</p>', "It has three tags and an offer in it."),
+        ('<pre><code>x = 1 <span class="hljs-comment"># the first number</span></code></pre>', "x = 1 # the first number"), (f'<p class="skip">{LONG}</p>', LONG), (f'<div class="overlay-text">{LONG}</div>', LONG),
+        ('<p>Seen <span hidden>but not this</span>and <b style="display: none">nor <i>this</i></b>heard.</p>', "Seen and heard."),
+    ],
+)
+def test_words_of_a_topic_are_not_parts_of_a_page(outer, inside, want):
+    page = f"<html><body><nav><a href=/>Home</a></nav><{outer}><p>{LONG}</p>{inside}<p>{LONG}</p></{outer.split()[0]}><footer>Contact us</footer></body></html>"
+    assert html.main_text(page) == f"{LONG}\n{want}\n{LONG}"
+
+
 def test_deep_pages_take_linear_time():
     n = 100_000
     assert html.main_text("<article>" + "<i><b>x" * n) == "x" * n
