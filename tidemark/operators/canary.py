@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
@@ -18,6 +19,8 @@ from .metrics import rank_auc
 from .splits import time_holdout
 
 MAX_FEATURES, MIN_DOCS = 2000, 2
+#: The column of a text's words.
+TOKENS = "__tokens"
 #: Words that the driver holds, and that pairs are told by.
 OFTEN = 20_000
 FOLDS, C_GRID = 3, tuple(10.0 ** (8 * i / 4 - 4) for i in range(5))
@@ -36,17 +39,23 @@ def verdict(n: Column, auc: Column) -> Column:
 
 def words(df: DataFrame, text: str = "text", out: str = "words", stop_words: Sequence[str] | None = None) -> DataFrame:
     """Words of two letters or more, in lower case, without (by default English) stop words."""
-    split = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
-    remover = StopWordsRemover(inputCol="__words", outputCol=out, locale="en_US")
-    if stop_words is not None:
-        remover = remover.setStopWords(list(stop_words))
-    return remover.transform(split).drop("__text", "__words")
+    # a run of word characters is taken whole from its first on, so its ends need no test
+    split = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"(?U)\w\w+", gaps=False).transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
+    # words are in lower case already, so stop words are compared as they are
+    remover = StopWordsRemover(inputCol="__words", outputCol=out, caseSensitive=True)
+    stop = remover.loadDefaultStopWords("english") if stop_words is None else stop_words
+    return remover.setStopWords(sorted({w.lower() for w in stop})).transform(split).drop("__text", "__words")
+
+
+def tokenised(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """df with its words as TOKENS, made once and kept on the executors' disks; a lost part is made again."""
+    return words(df, text, TOKENS, stop_words).persist(StorageLevel.DISK_ONLY)
 
 
 def terms(df: DataFrame, text: str = "text", out: str = "terms", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """The words, and pairs of neighbours."""
-    pairs = NGram(n=2, inputCol="__kept", outputCol="__pairs").transform(words(df, text, "__kept", stop_words))
-    return pairs.withColumn(out, F.concat("__kept", "__pairs")).drop("__kept", "__pairs")
+    """The words, and pairs of neighbours; from TOKENS where df has them."""
+    kept = df if TOKENS in df.columns else words(df, text, TOKENS, stop_words)
+    return NGram(n=2, inputCol=TOKENS, outputCol="__pairs").transform(kept).withColumn(out, F.concat(TOKENS, "__pairs")).drop(TOKENS, "__pairs")
 
 
 def _marked(rows: DataFrame, column: str) -> DataFrame:
@@ -59,7 +68,7 @@ def _counted(marked: DataFrame, min_docs: int) -> DataFrame:
     return marked.groupBy("term").agg(F.sum("new").alias("df"), F.sum(1 - F.col("new")).alias("c")).where(F.col("df") >= min_docs)
 
 
-def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, stop_words: Sequence[str] | None = None) -> DataFrame:
+def term_weights(df: DataFrame, text: str = "text", max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, stop_words: Sequence[str] | None = None) -> DataFrame:
     """(term, df, idf) of the terms with the highest counts in at least `min_docs` texts; ties by the term.
 
     idf is smoothed: ln((1 + n) / (1 + df)) + 1. A pair occurs at most as often as each of its words, so pairs of words
@@ -67,8 +76,10 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
     than OFTEN words (or max_features) tie there, none is.
     """
     spark, bound = df.sparkSession, max(OFTEN, max_features)
-    rows = words(df.select(text), text, "w", stop_words).select("w")
-    single = _counted(_marked(rows, "w"), min_docs).cache()
+    given = TOKENS in df.columns
+    kept = df if given else tokenised(df.select(text), text, stop_words)
+    rows = kept.select(TOKENS)
+    single = _counted(_marked(rows, TOKENS), min_docs).persist(StorageLevel.MEMORY_AND_DISK)
     # the count of the last word that could be among the best, from how many words have each count
     least, left = 0, max_features
     for r in single.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(max_features).collect():
@@ -77,7 +88,7 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
             break
     least = least if left <= 0 else 0
     known = single.where(F.col("c") >= least).limit(bound + 1).collect()
-    pairs = _marked(NGram(n=2, inputCol="w", outputCol="p").transform(rows), "p")
+    pairs = _marked(NGram(n=2, inputCol=TOKENS, outputCol="p").transform(rows), "p")
     if len(known) <= bound:
         often = F.broadcast(spark.createDataFrame([(r["term"],) for r in known], "word string"))
         for i in (1, -1):
@@ -86,14 +97,18 @@ def term_weights(df: DataFrame, key: str = "doc_id", text: str = "text", max_fea
         known = single.orderBy(F.desc("c"), "term").limit(max_features).collect()
     single.unpersist()
     best = spark.createDataFrame([tuple(r) for r in known], "term string, df long, c long").unionByName(_counted(pairs, min_docs).where(F.col("c") >= least))
-    top = best.orderBy(F.desc("c"), "term").limit(max_features)  # the feature itself is a bounded vocabulary
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    return top.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    top = best.orderBy(F.desc("c"), "term").limit(max_features).collect()  # the feature itself is a bounded vocabulary
+    n = rows.count()
+    if not given:
+        kept.unpersist()
+    out = spark.createDataFrame([tuple(r) for r in top], "term string, df long, c long")
+    return out.select("term", "df", (F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
 def fit_tfidf(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None = None) -> tuple[list[str], list[float]]:
     """The vocabulary, MAX_FEATURES terms at most, and the idf of each."""
-    rows = term_weights(df.select(F.lit(0).alias("__key"), F.col(text).alias("__body")), "__key", "__body", stop_words=stop_words).collect()
+    body = df.select(TOKENS) if TOKENS in df.columns else df.select(F.col(text).alias("__body"))
+    rows = term_weights(body, text="__body", stop_words=stop_words).collect()
     return [r["term"] for r in rows], [r["idf"] for r in rows]
 
 
@@ -106,8 +121,9 @@ def with_tfidf(df: DataFrame, vocabulary: Sequence[str], idf: Sequence[float], t
 
 def tfidf(train: DataFrame, *others: DataFrame, text: str = "text") -> list[DataFrame]:
     """Adds `features`, unit vectors of tf * idf, to train and others; vocabulary and idf are of train alone."""
-    vocabulary, idf = fit_tfidf(train, text)
-    return [with_tfidf(d, vocabulary, idf, text) for d in (train, *others)]
+    first = tokenised(train, text)
+    vocabulary, idf = fit_tfidf(first)
+    return [with_tfidf(d, vocabulary, idf, text) for d in (first, *others)]
 
 
 def feature_totals(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
