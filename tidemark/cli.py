@@ -15,7 +15,7 @@ from .operators import backtest, inference, splits
 from .plans import pipelines
 from .session import get_session
 from .sources import dims, sinks, tables
-from .sources.http import PAUSE
+from .sources.http import BACKOFF, PAUSE, RETRIES
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--www", default="https://www.sec.gov")
     one.add_argument("--data", default="https://data.sec.gov")
     one.add_argument("--pause", type=float, default=PAUSE)
+    one.add_argument("--retries", type=int, default=RETRIES)
+    one.add_argument("--backoff", type=float, default=BACKOFF, help="seconds before the first retry, twice as many before each more")
     one.add_argument("--overwrite", action="store_true")
     one = add("label")
     one.add_argument("--root", required=True)
@@ -89,9 +91,12 @@ def factory_of(name: str) -> Callable[[], object]:
 def run(spark: SparkSession, args: argparse.Namespace) -> object:
     """Runs a stage and returns its report."""
     if args.stage == "ingest":
-        done = pipelines.fetch_and_ingest(spark, args.tickers, args.start, args.end, args.root, args.agent, args.www, args.data, args.pause, overwrite=args.overwrite)
-        written = spark.read.parquet(pipelines.edgar_path(args.root)).where(F.col("ticker").isin(args.tickers)).join(done.select("accessionNumber").distinct(), "accessionNumber", "left_semi")
-        return rows_of(written.groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n_filings")).orderBy("ticker", "year"))
+        done = pipelines.fetch_and_ingest(spark, args.tickers, args.start, args.end, args.root, args.agent, args.www, args.data, args.pause, overwrite=args.overwrite, retries=args.retries, backoff=args.backoff)
+        written = tables.read_if_there(spark, pipelines.edgar_path(args.root), "ticker string, year int, accessionNumber string").where(F.col("ticker").isin(args.tickers)).join(done.filings.select("accessionNumber").distinct(), "accessionNumber", "left_semi")
+        cells = rows_of(written.groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n_filings")).orderBy("ticker", "year"))
+        if not done.failed:
+            return cells
+        return {"ok": cells, "failed": [{"ticker": t, "year": y, "error": e} for t, y, e in sorted(done.failed, key=str)]}
     if args.stage == "label":
         prices, factors, years = tables.read_prices(spark, args.prices), spark.read.parquet(args.factors), list(range(args.start_year, args.end_year + 1))
         out: dict[str, object] = {"cells": rows_of(pipelines.label_cells(spark, args.tickers, years, prices, factors, args.root, args.overwrite))}

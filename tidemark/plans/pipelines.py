@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from ..functions.text import accession_path
 from ..operators import canary, diagnose, labels, metrics, splits
 from ..session import importable
 from ..sources import filings, sinks
-from ..sources.http import PAUSE, ThrottledHttp
+from ..sources.http import BACKOFF, PAUSE, RETRIES, ThrottledHttp
 
 
 def edgar_path(root: str) -> str:
@@ -43,39 +45,95 @@ def ingest(index: DataFrame, documents: DataFrame, root: str, form: str = "8-K",
     return sinks.write_partitioned(out, edgar_path(root), overwrite=overwrite)
 
 
-def fetched(spark: SparkSession, urls: list[str], folder: str, agent: str, pause: float, skip_errors: bool = False) -> DataFrame:
-    """url, body of each address, asked for once: what is in `folder` isn't asked for again."""
+_LOG = "url string, status int, body string, error string, at timestamp"
+
+
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    """All answers up to now; none where nothing has been asked.
+
+    The time is part of the plan: Spark takes scans of one folder for the same, whatever files each has seen.
+    """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    had = {r["url"] for r in spark.read.parquet(folder).select("url").collect()} if there else set()
-    if new := sorted(set(urls) - had):
-        importable(spark)
-        spark.dataSource.register(ThrottledHttp)
-        how = {"urls": " ".join(new), "agent": agent, "pause": str(pause), "skip_errors": str(skip_errors).lower()}
-        spark.read.format("throttled_http").options(**how).load().where("body IS NOT NULL").select("url", "body").write.mode("append").parquet(folder)
-    empty = spark.createDataFrame([], "url string, body string")
+    now = F.timestamp_micros(F.lit(time.time_ns() // 1000))
+    return spark.read.schema(_LOG).parquet(folder).where(F.col("at") <= now) if there else spark.createDataFrame([], _LOG)
+
+
+def fetch(spark: SparkSession, urls: list[str], folder: str, agent: str, pause: float = PAUSE, batch: int = 200, retries: int = RETRIES, backoff: float = BACKOFF) -> None:
+    """Asks for each address and logs the answers in `folder`, `batch` of them a commit.
+
+    What has answered once isn't asked for again, so a run that was killed goes on where its last commit ended. Failures
+    are logged beside, with their status, and are asked for again by the next run.
+    """
+    asked = spark.createDataFrame([(u,) for u in sorted(set(urls))], "url string")
+    new = [r["url"] for r in asked.join(_log(spark, folder).where("body IS NOT NULL").select("url"), "url", "left_anti").orderBy("url").collect()]
+    importable(spark)
+    spark.dataSource.register(ThrottledHttp)
+    for lo in range(0, len(new), batch):
+        if lo:
+            time.sleep(pause)
+        how = {"urls": " ".join(new[lo : lo + batch]), "agent": agent, "pause": str(pause), "retries": str(retries), "backoff": str(backoff), "skip_errors": "true"}
+        answers = spark.read.format("throttled_http").options(**how).load()
+        answers.select("url", "status", "body", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(folder)
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """url, body, status, error: the last answer of each address, one with a body if there is any."""
+    best = F.struct(F.col("body").isNotNull(), "at", "body", "status", "error")
+    return _log(spark, folder).groupBy("url").agg(F.max(best).alias("a")).select("url", "a.body", "a.status", "a.error")
+
+
+def fetched(spark: SparkSession, urls: list[str], folder: str, agent: str, pause: float, skip_errors: bool = False, **how) -> DataFrame:
+    """url, body of each address, asked for until it has answered once; raises where one fails, but with skip_errors."""
+    fetch(spark, urls, folder, agent, pause, **how)
     asked = spark.createDataFrame([(u,) for u in sorted(set(urls))], "url string")
-    return spark.read.parquet(folder).join(F.broadcast(asked), "url", "left_semi") if new or there else empty
+    got = answers(spark, folder).join(F.broadcast(asked), "url", "left_semi")
+    if not skip_errors and (bad := got.where("body IS NULL").select("url", "error").first()):
+        raise OSError(f"{bad['url']}: {bad['error']}")
+    return got.where("body IS NOT NULL").select("url", "body")
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """Filings of the cells that are whole, and (ticker, year, error) of those that aren't; year None: the whole ticker."""
+
+    filings: DataFrame
+    failed: list[tuple[str, int | None, str]]
 
 
 def fetch_and_ingest(
-    spark: SparkSession, tickers: list[str], start: date, end: date, root: str, agent: str = "tidemark", www: str = "https://www.sec.gov", data: str = "https://data.sec.gov", pause: float = PAUSE, form: str = "8-K", overwrite: bool = False
-) -> DataFrame:
+    spark: SparkSession, tickers: list[str], start: date, end: date, root: str, agent: str = "tidemark", www: str = "https://www.sec.gov", data: str = "https://data.sec.gov", pause: float = PAUSE, form: str = "8-K", overwrite: bool = False, **how
+) -> Ingested:
     """Filings of [start, end) of the tickers with their documents, from the public filing service's addresses.
 
-    One partition asks, with a pause between requests, so the driver's lists of addresses are bounded by that rate.
-    A document that can't be had is left out; a ticker that no company has raises KeyError.
+    One partition asks, with a pause between requests, so the driver's lists of addresses are bounded by that rate. An
+    exhibit that the service refuses with a status is left out, as is the list of a folder that isn't there (404). A main
+    document, a list or an exhibit that fails otherwise, after all retries, fails its ticker and year: that cell isn't
+    written, is named with the error, and is tried again by the next run, while the others go on. So does a ticker that
+    no company has or whose index fails; KeyError if no company has any.
     """
-    get = lambda urls, skip=False: fetched(spark, urls, f"{root}/fetched", agent, pause, skip)
+    log = f"{root}/fetched"
+    get = lambda urls, skip=False: fetched(spark, urls, log, agent, pause, skip, **how)
     companies = filings.parse_company_tickers(get([f"{www}/files/company_tickers.json"]), "body").cache()
-    ciks = {t: filings.cik_for_ticker(companies, t) for t in tickers}
+    found = for_each_cell([(t, None) for t in tickers], lambda t, _: filings.cik_for_ticker(companies, t))
+    failed = list(found["failed"])
+    if not found["ok"]:
+        raise KeyError(", ".join(t for t, _, _ in failed))
+    ciks = {t: filings.cik_for_ticker(companies, t) for t, _ in found["ok"]}
     named = spark.createDataFrame([(f"{data}/submissions/CIK{c}.json", t, c) for t, c in ciks.items()], "url string, ticker string, cik string")
-    whole = get([f"{data}/submissions/CIK{c}.json" for c in ciks.values()]).join(F.broadcast(named), "url")
+    whole = get([f"{data}/submissions/CIK{c}.json" for c in ciks.values()], True).join(F.broadcast(named), "url")
     keep = ("ticker", "cik")
-    recent = filings.columnar_json_to_rows(whole.withColumn("json", F.get_json_object("body", "$.filings.recent")), keep=keep)
     older = whole.select(*keep, F.explode(F.from_json(F.get_json_object("body", "$.filings.files"), "array<struct<name:string>>")).alias("f")).select(*keep, F.concat(F.lit(f"{data}/submissions/"), "f.name").alias("url"))
-    shard_urls = [r["url"] for r in older.collect()]
-    index = filings.list_filings(recent, *([filings.columnar_json_to_rows(get(shard_urls).join(older, "url"), "body", keep)] if shard_urls else []), form=form)
+    shards = older.collect()
+    more_rows = get([r["url"] for r in shards], True).join(older, "url")
+    # a ticker of which a part of the index is missing is left out whole
+    state = answers(spark, log)
+    parts = named.select("url", *keep).unionByName(older.select("url", *keep))
+    unlisted = parts.join(state, "url", "left").where("body IS NULL").groupBy("ticker").agg(F.min(F.coalesce("error", F.lit("not asked"))).alias("error")).collect()
+    failed += [(r["ticker"], None, r["error"]) for r in unlisted]
+    listed = ~F.col("ticker").isin([r["ticker"] for r in unlisted]) if unlisted else F.lit(True)
+    recent = filings.columnar_json_to_rows(whole.where(listed).withColumn("json", F.get_json_object("body", "$.filings.recent")), keep=keep)
+    index = filings.list_filings(recent, *([filings.columnar_json_to_rows(more_rows.where(listed), "body", keep)] if shards else []), form=form)
     index = splits.date_range(index, "filingDate", start, end).cache()
     base = F.concat(F.lit(f"{www}/Archives/edgar/data/"), accession_path(F.col("accessionNumber"), F.col("cik")))
     main = index.select("accessionNumber", F.lit(0).alias("position"), F.col("primaryDocument").alias("name"), F.concat_ws("/", base, "primaryDocument").alias("url"))
@@ -85,7 +143,14 @@ def fetch_and_ingest(
     more = filings.exhibits(items.select("accessionNumber", "primaryDocument", (F.col("at") + 1).alias("position"), F.col("item.name").alias("name"), F.concat_ws("/", "base", "item.name").alias("url")))
     wanted = main.unionByName(more.drop("primaryDocument")).cache()
     bodies = get([r["url"] for r in wanted.select("url").collect()], True)
-    return ingest(index, wanted.join(bodies, "url").select("accessionNumber", "position", "name", F.col("body").alias("html")), root, form, overwrite)
+    needed = wanted.select("accessionNumber", "url", F.when(F.col("position") == 0, F.lit("main")).otherwise(F.lit("exhibit")).alias("kind")).unionByName(lists.select("accessionNumber", "url", F.lit("list").alias("kind")))
+    passed = F.col("body").isNotNull() | (F.col("kind") == "exhibit") & F.col("status").isNotNull() | (F.col("kind") == "list") & F.coalesce(F.col("status") == 404, F.lit(False))
+    broken = needed.join(answers(spark, log), "url", "left").where(~passed).join(index.select("accessionNumber", "ticker", F.year("filingDate").alias("year")), "accessionNumber")
+    broken = broken.groupBy("ticker", "year").agg(F.min(F.concat_ws(": ", "url", "error")).alias("error")).collect()  # a row a cell
+    failed += [(r["ticker"], r["year"], r["error"]) for r in broken]
+    cells = spark.createDataFrame([(r["ticker"], r["year"]) for r in broken], "ticker string, year int")
+    good = index.withColumn("year", F.year("filingDate")).join(F.broadcast(cells), ["ticker", "year"], "left_anti").drop("year")
+    return Ingested(ingest(good, wanted.join(bodies, "url").select("accessionNumber", "position", "name", F.col("body").alias("html")), root, form, overwrite), failed)
 
 
 def label(events: DataFrame, prices: DataFrame, factors: DataFrame, root: str, ts: str = "acceptanceDateTime", overwrite: bool = False) -> DataFrame:
@@ -115,7 +180,7 @@ def combine(spark: SparkSession, root: str, tickers: list[str], years: list[int]
     return spark.read.parquet(path)
 
 
-def for_each_cell(cells: list[tuple[str, int]], work: Callable[[str, int], object]) -> dict[str, list]:
+def for_each_cell(cells: list[tuple], work: Callable[..., object]) -> dict[str, list]:
     """Runs work for each ticker and year; a cell that fails is named with its error and the others go on."""
     done: dict[str, list] = {"ok": [], "failed": []}
     for ticker, year in cells:
@@ -165,4 +230,4 @@ def spot_check(labeled: DataFrame, z: str = "car_z_0_1", n: int = 10) -> DataFra
     return top.withColumn("items_described", described_items(F.col("items"), ITEM_NAMES)).withColumn("excerpt", excerpt(F.col("body_text")))
 
 
-__all__ = ["canary_report", "combine", "diagnosis", "edgar_path", "evaluate", "fetch_and_ingest", "fetched", "for_each_cell", "ingest", "ingest_and_label", "label", "label_cells", "labeled_path", "spot_check"]
+__all__ = ["Ingested", "answers", "canary_report", "combine", "diagnosis", "edgar_path", "evaluate", "fetch", "fetch_and_ingest", "fetched", "for_each_cell", "ingest", "ingest_and_label", "label", "label_cells", "labeled_path", "spot_check"]

@@ -37,3 +37,10 @@ def counts_by_class(rows: DataFrame) -> DataFrame:
     """Counts of direction and materiality in training rows; rows without either don't count for it."""
     pairs = F.array(F.struct(F.lit("direction").alias("field"), F.col("meta.direction").alias("class")), F.struct(F.lit("materiality").alias("field"), F.col("meta.materiality").alias("class")))
     return rows.select(F.inline(pairs)).where("class IS NOT NULL").groupBy("field", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """These columns of a Parquet dataset, or an empty table where there is none."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
