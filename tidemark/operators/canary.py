@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..session import importable
+from . import terms
 from .metrics import rank_auc
 from .splits import time_holdout
 
 MAX_FEATURES, MIN_DOCS = 2000, 2
-#: The column of a text's words.
-TOKENS = "__tokens"
 #: Words that the driver holds, and that pairs are told by.
 OFTEN = 20_000
 FOLDS, C_GRID = 3, tuple(10.0 ** (8 * i / 4 - 4) for i in range(5))
@@ -37,49 +38,28 @@ def verdict(n: Column, auc: Column) -> Column:
     )
 
 
-def words(df: DataFrame, text: str = "text", out: str = "words", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Words of two letters or more, in lower case, without (by default English) stop words."""
-    # a run of word characters is taken whole from its first on, so its ends need no test
-    split = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"(?U)\w\w+", gaps=False).transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
-    # words are in lower case already, so stop words are compared as they are
-    remover = StopWordsRemover(inputCol="__words", outputCol=out, caseSensitive=True)
-    stop = remover.loadDefaultStopWords("english") if stop_words is None else stop_words
-    return remover.setStopWords(sorted({w.lower() for w in stop})).transform(split).drop("__text", "__words")
+def _stops(stop_words: Sequence[str] | None) -> list[str]:
+    """By default English stop words."""
+    return sorted({w.lower() for w in (StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words)})
 
 
-def tokenised(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """df with its words as TOKENS, made once and kept on the executors' disks; a lost part is made again."""
-    return words(df, text, TOKENS, stop_words).persist(StorageLevel.DISK_ONLY)
-
-
-def terms(df: DataFrame, text: str = "text", out: str = "terms", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """The words, and pairs of neighbours; from TOKENS where df has them."""
-    kept = df if TOKENS in df.columns else words(df, text, TOKENS, stop_words)
-    return NGram(n=2, inputCol=TOKENS, outputCol="__pairs").transform(kept).withColumn(out, F.concat(TOKENS, "__pairs")).drop(TOKENS, "__pairs")
-
-
-def _marked(rows: DataFrame, column: str) -> DataFrame:
-    """A row for each term of a text, new 0, and one for each distinct term, new 1: one grouping gives both counts."""
-    both = rows.select(F.size(column).alias("n"), F.posexplode(F.concat(column, F.array_distinct(column))).alias("at", "term"))
-    return both.select("term", (F.col("at") >= F.col("n")).cast("int").alias("new"))
-
-
-def _counted(marked: DataFrame, min_docs: int) -> DataFrame:
-    return marked.groupBy("term").agg(F.sum("new").alias("df"), F.sum(1 - F.col("new")).alias("c")).where(F.col("df") >= min_docs)
+def _counted(rows: DataFrame, counts: Callable, kind: str, min_docs: int) -> DataFrame:
+    found = rows.mapInArrow(counts, f"term {kind}, df long, c long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("c").alias("c"))
+    return found.where(F.col("df") >= min_docs)
 
 
 def term_weights(df: DataFrame, text: str = "text", max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, stop_words: Sequence[str] | None = None) -> DataFrame:
     """(term, df, idf) of the terms with the highest counts in at least `min_docs` texts; ties by the term.
 
+    Terms are words of two letters or more, in lower case, without stop words, and pairs of neighbours among them.
     idf is smoothed: ln((1 + n) / (1 + df)) + 1. A pair occurs at most as often as each of its words, so pairs of words
     that are rarer than the last word that could be among the best are left out before they are counted; where more
     than OFTEN words (or max_features) tie there, none is.
     """
-    spark, bound = df.sparkSession, max(OFTEN, max_features)
-    given = TOKENS in df.columns
-    kept = df if given else tokenised(df.select(text), text, stop_words)
-    rows = kept.select(TOKENS)
-    single = _counted(_marked(rows, TOKENS), min_docs).persist(StorageLevel.MEMORY_AND_DISK)
+    spark, bound, stop = df.sparkSession, max(OFTEN, max_features), _stops(stop_words)
+    importable(spark)
+    rows = df.select(text)
+    single = _counted(rows, terms.words_counted(stop), "string", min_docs).persist(StorageLevel.MEMORY_AND_DISK)
     # the count of the last word that could be among the best, from how many words have each count
     least, left = 0, max_features
     for r in single.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(max_features).collect():
@@ -88,42 +68,42 @@ def term_weights(df: DataFrame, text: str = "text", max_features: int = MAX_FEAT
             break
     least = least if left <= 0 else 0
     known = single.where(F.col("c") >= least).limit(bound + 1).collect()
-    pairs = _marked(NGram(n=2, inputCol=TOKENS, outputCol="p").transform(rows), "p")
     if len(known) <= bound:
-        often = F.broadcast(spark.createDataFrame([(r["term"],) for r in known], "word string"))
-        for i in (1, -1):
-            pairs = pairs.join(often, F.substring_index("term", " ", i) == often["word"], "left_semi")
+        often = [r["term"] for r in known]
+        pairs = _counted(rows, terms.pairs_counted(stop, often), "long", min_docs).where(F.col("c") >= least)
+        names, size = spark.createDataFrame(list(enumerate(often)), "i long, word string"), max(1, len(often))
+        for i, name in ((F.floor(F.col("term") / size), "a"), (F.col("term") % size, "b")):
+            pairs = pairs.join(F.broadcast(names.withColumnRenamed("word", name)), i == F.col("i")).drop("i")
+        pairs = pairs.select(F.concat_ws(" ", "a", "b").alias("term"), "df", "c")
     else:
+        pairs = _counted(rows, terms.pairs_counted(stop), "string", min_docs).where(F.col("c") >= least)
         known = single.orderBy(F.desc("c"), "term").limit(max_features).collect()
     single.unpersist()
-    best = spark.createDataFrame([tuple(r) for r in known], "term string, df long, c long").unionByName(_counted(pairs, min_docs).where(F.col("c") >= least))
+    best = spark.createDataFrame([tuple(r) for r in known], "term string, df long, c long").unionByName(pairs)
     top = best.orderBy(F.desc("c"), "term").limit(max_features).collect()  # the feature itself is a bounded vocabulary
-    n = rows.count()
-    if not given:
-        kept.unpersist()
+    n = df.count()
     out = spark.createDataFrame([tuple(r) for r in top], "term string, df long, c long")
     return out.select("term", "df", (F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
 def fit_tfidf(df: DataFrame, text: str = "text", stop_words: Sequence[str] | None = None) -> tuple[list[str], list[float]]:
     """The vocabulary, MAX_FEATURES terms at most, and the idf of each."""
-    body = df.select(TOKENS) if TOKENS in df.columns else df.select(F.col(text).alias("__body"))
-    rows = term_weights(body, text="__body", stop_words=stop_words).collect()
+    rows = term_weights(df, text=text, stop_words=stop_words).collect()
     return [r["term"] for r in rows], [r["idf"] for r in rows]
 
 
-def with_tfidf(df: DataFrame, vocabulary: Sequence[str], idf: Sequence[float], text: str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Adds `features`, sparse unit vectors of tf * idf; zero where a text has no term of the vocabulary."""
-    model = CountVectorizerModel.from_vocabulary(list(vocabulary) or [""], inputCol="terms", outputCol="__tf")
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(list(idf) or [0.0]), inputCol="__tf", outputCol="__raw")
-    return Normalizer(p=2.0, inputCol="__raw", outputCol="features").transform(scaled.transform(model.transform(terms(df, text, stop_words=stop_words)))).drop("terms", "__tf", "__raw")
+def with_tfidf(df: DataFrame, vocabulary: Sequence[str], idf: Sequence[float], text: str = "text", stop_words: Sequence[str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds `features`, sparse unit vectors of tf * idf, to the columns `keep` (all); zero where a text has no term of the vocabulary."""
+    importable(df.sparkSession)
+    kept = df.select(*(df.columns if keep is None else keep))
+    weights = terms.weights(list(vocabulary) or [""], list(idf) or [0.0], _stops(stop_words))
+    return df.select(*kept.columns, F.col(text).alias("__text")).mapInArrow(weights, StructType([*kept.schema.fields, StructField("features", VectorUDT())]))
 
 
 def tfidf(train: DataFrame, *others: DataFrame, text: str = "text") -> list[DataFrame]:
     """Adds `features`, unit vectors of tf * idf, to train and others; vocabulary and idf are of train alone."""
-    first = tokenised(train, text)
-    vocabulary, idf = fit_tfidf(first)
-    return [with_tfidf(d, vocabulary, idf, text) for d in (first, *others)]
+    vocabulary, idf = fit_tfidf(train, text)
+    return [with_tfidf(d, vocabulary, idf, text) for d in (train, *others)]
 
 
 def feature_totals(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:

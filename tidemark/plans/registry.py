@@ -622,9 +622,9 @@ def body_excerpt(spark, sf):
 @query(O.TFIDF)
 def tfidf_features(spark, sf):
     """The canary's features over whole texts: of each term, the documents that have it and its weights' sum."""
-    docs = canary.tokenised(table(spark, sf, "documents").select("text")).select(canary.TOKENS)
+    docs = table(spark, sf, "documents").select("text")
     vocabulary, idf = canary.fit_tfidf(docs)
-    return canary.feature_totals(canary.with_tfidf(docs, vocabulary, idf), vocabulary).select("term", "df", r6("weight"))
+    return canary.feature_totals(canary.with_tfidf(docs, vocabulary, idf, keep=[]), vocabulary).select("term", "df", r6("weight"))
 
 
 @query(O.TERM_WEIGHTS)
