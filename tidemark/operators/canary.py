@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from statistics import fmean
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -17,14 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import importable
-from . import terms
+from . import logistic, terms
 from .metrics import rank_auc
 from .splits import time_holdout
 
 MAX_FEATURES, MIN_DOCS = 2000, 2
 #: Words that the driver holds, and that pairs are told by.
 OFTEN = 20_000
-FOLDS, C_GRID = 3, tuple(10.0 ** (8 * i / 4 - 4) for i in range(5))
+#: ALL: no fold's number, so the fold left out by a fit on all rows.
+ALL, FOLDS, C_GRID = -1, 3, tuple(10.0 ** (8 * i / 4 - 4) for i in range(5))
 
 
 def verdict(n: Column, auc: Column) -> Column:
@@ -113,55 +113,61 @@ def feature_totals(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     return summary.select(F.inline(pairs)).select("term", F.col("df").cast("long").alias("df"), "weight") if vocabulary else summary.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("weight")).limit(0)
 
 
-def logreg_cv(train: DataFrame, label: str = "label", features: str = "features", key: str = "id", grid: tuple[float, ...] = C_GRID, folds: int = FOLDS):
-    """Logistic regression with the inverse penalty of the best mean AUC over folds, refitted on all rows."""
-    # a job per step of the fit: few partitions for few rows
-    parts = max(1, train.count() // 5000)
-    rows = train.select(key, label, features, F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)).alias("__fold")).coalesce(parts).cache()
-    sizes = {(r["__fold"], r[label]): r["n"] for r in rows.groupBy("__fold", label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    whole = sum(sizes.values())
-    score = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", numBins=0)
-
-    def fit(part: DataFrame, size: int, c: float):
-        return LogisticRegression(labelCol=label, featuresCol=features, regParam=1 / (c * max(size, 1)), standardization=False, maxIter=1000, tol=1e-4).fit(part)
-
-    def auc(job: tuple[float, int]) -> float | None:
-        c, k = job
-        inside, outside = ({y for f, y in sizes if (f == k) == own} for own in (False, True))
-        if len(inside) < 2 or len(outside) < 2:
-            return None
-        size = sum(n for (f, _), n in sizes.items() if f != k)
-        return score.evaluate(fit(rows.where(F.col("__fold") != k), size, c).transform(rows.where(F.col("__fold") == k)))
-
-    jobs = [(c, k) for c in grid for k in range(folds)]
-    with ThreadPoolExecutor(4) as pool:
-        found = list(zip(jobs, pool.map(auc, jobs)))
-    mean = {c: [a for (x, _), a in found if x == c and a is not None] for c in grid}
-    best = max(grid, key=lambda c: (sum(mean[c]) / len(mean[c]) if mean[c] else -1.0, -c))
-    model = fit(rows, whole, best)
-    rows.unpersist()
-    return model, best
-
-
-def holdout_auc(events: DataFrame, target: str, text: str, ts: str, key: str) -> float | None:
-    """AUC of text against `target` > 0 on the last part of the rows by time; null under 12 rows or one class."""
-    rows = time_holdout(events.select(key, ts, text, (F.col(target) > 0).cast("int").alias("label")), ts, key).cache()
-    sides = {(r["part"], r["label"]): r["n"] for r in rows.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(sides.values()) < 12 or len(sides) < 4:
-        rows.unpersist()
-        return None
-    # features are used by every fold: kept once they are made
-    train, test = tfidf(rows.where("part = 'train'"), rows.where("part = 'test'"), text=text)
-    model, _ = logreg_cv(train, key=key)
-    out = rank_auc(model.transform(test).withColumn("__p", vector_to_array("probability")[1]), "label", "__p").first()["auc"]
-    rows.unpersist()
-    return out
+def logreg_cv(train: DataFrame, sizes: dict[tuple, int], labels: int = 1, grid: tuple[float, ...] = C_GRID, folds: int = FOLDS) -> list[logistic.Model | None]:
+    """For each label the logistic regression with the inverse penalty of the best mean AUC over folds, fitted on all rows.
+
+    train: (fold, labels, features), cached. sizes: its rows by fold and labels. All regressions are fitted together;
+    None for a label of one class.
+    """
+
+    def model(j: int, c: float, k: int) -> logistic.Model | None:
+        n, ones = (sum(m for (f, *y), m in sizes.items() if f != k and y[j] >= least) for least in (0, 1))
+        return logistic.Model(j, k, 1 / (c * n), n, ones / n) if 0 < ones < n else None
+
+    jobs = {(j, c, k): model(j, c, k) for j in range(labels) for c in grid for k in (ALL, *range(folds))}
+    jobs = {k: m for k, m in jobs.items() if m}
+    logistic.fit(train, list(jobs.values()))
+    tried = {k: m for k, m in jobs.items() if k[2] != ALL}
+    aucs = rank_auc(logistic.scored(train, list(tried.values()), own=True), "y", "p", ["model"]).collect() if tried else []
+    names, found = list(tried), defaultdict(list)
+    for r in aucs:
+        if r["auc"] is not None:
+            found[names[r["model"]][:2]].append(r["auc"])
+    best = [max(grid, key=lambda c: (fmean(found[j, c]) if found[j, c] else -1.0, -c)) for j in range(labels)]
+    return [jobs.get((j, c, ALL)) for j, c in enumerate(best)]
+
+
+def holdout_aucs(events: DataFrame, targets: Sequence[str], text: str, ts: str, key: str) -> list[float | None]:
+    """For each target the AUC of text against `target` > 0 on the last part of the rows by time; null under 12 rows or one class.
+
+    The targets share the split, the vocabulary and the features, which are made once and kept without the texts.
+    """
+    spark, ys = events.sparkSession, [f"__y{i}" for i in range(len(targets))]
+    fold = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS)), F.lit(FOLDS)).cast("int")
+    # texts stay where they are: the last row of the training part is found among times and keys
+    last = time_holdout(events.select(ts, key), ts, key).where("part = 'train'").agg(F.max(F.struct(ts, key)).alias("__last"))
+    last = F.broadcast(spark.createDataFrame(last.collect(), last.schema))
+    rows = events.select(text, ts, key, fold.alias("fold"), *[(F.col(t) > 0).cast("int").alias(y) for t, y in zip(targets, ys)]).crossJoin(last)
+    rows = rows.withColumn("train", F.coalesce(F.struct(ts, key) <= F.col("__last"), F.lit(False))).drop(ts, key, "__last")
+    sizes = {tuple(r[:-1]): r[-1] for r in rows.groupBy("train", "fold", *ys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    fit = [i for i in range(len(ys)) if len({(k[0], k[2 + i]) for k in sizes}) == 4]
+    if sum(sizes.values()) < 12 or not fit:
+        return [None] * len(ys)
+    vocabulary, idf = fit_tfidf(rows.where("train"), text)
+    parts = max(2, 2 * spark.sparkContext.defaultParallelism)
+    made = with_tfidf(rows, vocabulary, idf, text, keep=["train", "fold", *ys]).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    sides = {side: made.where(F.col("train") == side).select("fold", *ys, "features") for side in (True, False)}
+    models = logreg_cv(sides[True], {k[1:]: n for k, n in sizes.items() if k[0]}, len(ys))
+    use = [i for i in fit if models[i]]
+    auc = {use[r["model"]]: r["auc"] for r in rank_auc(logistic.scored(sides[False], [models[i] for i in use], own=False), "y", "p", ["model"]).collect()}
+    made.unpersist()
+    return [auc.get(i) for i in range(len(ys))]
 
 
 def run_canary(events: DataFrame, text: str = "body_text", ts: str = "acceptanceDateTime", key: str = "event_id", forward: str = "car_0_1", before: str = "car_minus1_0") -> DataFrame:
     """n_events, auc_forward, auc_canary, verdict."""
     rows = events.na.drop(subset=[forward, before])
     n = rows.count()
-    aucs = [holdout_auc(rows, target, text, ts, key) for target in (forward, before)]
+    aucs = holdout_aucs(rows, (forward, before), text, ts, key)
     one = events.sparkSession.createDataFrame([(n, *aucs)], "n_events long, auc_forward double, auc_canary double")
     return one.withColumn("verdict", verdict(F.col("n_events"), F.col("auc_canary")))
