@@ -13,11 +13,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BLOCK, MEMORY, MAX_ITER, TOLERANCE = 512, 10, 1000, 1e-10
+BLOCK, STRIPES, MEMORY, MAX_ITER, TOLERANCE = 512, 16, 10, 1000, 1e-10
 
 
 @dataclass
@@ -33,16 +31,16 @@ class Model:
     b: float = 0.0
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], size: int, most: int = BLOCK, kind: type = float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of (fold, labels, features): folds, labels by column, and dense features, a few rows at a time."""
-    x = np.zeros((BLOCK, size))
+    x = np.zeros((most, size), kind)
     for b in batches:
         folds, labels = b.column(0).to_numpy(), [c.to_numpy() for c in b.columns[1:-1]]
         vectors = b.column(b.num_columns - 1)
         lists = vectors.field("indices")
         ends, index, value = lists.offsets.to_numpy(), lists.values.to_numpy(), vectors.field("values").values.to_numpy()
-        for i in range(0, b.num_rows, BLOCK):
-            n = min(BLOCK, b.num_rows - i)
+        for i in range(0, b.num_rows, most):
+            n = min(most, b.num_rows - i)
             own = slice(ends[i], ends[i + n])
             row = np.repeat(np.arange(n), np.diff(ends[i : i + n + 1]))
             x[row, index[own]] = value[own]
@@ -50,6 +48,35 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
             x[row, index[own]] = 0.0
 
 
+def _products(size: int) -> Callable:
+    """A task's sum of the products of features by each other, in STRIPES, as single floats, and with each the sum of features."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums, n = np.zeros((size, size), np.float32), np.zeros(size), 0
+        for _, _, x in blocks(batches, size, 2048, np.float32):
+            total += x.T @ x
+            sums += x.sum(0, dtype=float)
+            n += len(x)
+        for i, part in enumerate(np.array_split(total, STRIPES) if n else []):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary())], ["stripe", "n", "sums", "part"])
+
+    return multiply
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    sums, part = (sum(np.frombuffer(v.as_buffer(), kind).astype(float) for v in t[c]) for c, kind in (("sums", float), ("part", np.float32)))
+    return pa.table({"stripe": t["stripe"][:1], "n": [sum(t["n"].to_pylist())], "sums": pa.array([sums.tobytes()], pa.binary()), "part": pa.array([part.astype(np.float32).tobytes()], pa.binary())})
+
+
+def spread_of(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and, in single precision, covariance of the features of rows (fold, labels, features)."""
+    kind = "stripe int, n long, sums binary, part binary"
+    found = sorted(rows.mapInArrow(_products(size), kind).groupBy("stripe").applyInArrow(_summed, kind).collect(), key=lambda r: r["stripe"])
+    n, mean = found[0]["n"], np.frombuffer(found[0]["sums"]) / found[0]["n"]
+    products = np.concatenate([np.frombuffer(r["part"], np.float32) for r in found]).reshape(size, size)
+    return mean, products / n - np.outer(mean, mean)
+
+
 def probability(margin: np.ndarray) -> np.ndarray:
     # of two equal expressions the one that can't overflow
     small = np.exp(-np.abs(margin))
@@ -130,10 +157,8 @@ def fit(rows: DataFrame, models: list[Model]) -> int:
     """
     if not models:
         return 0
-    about = rows.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).first()["s"]
-    mean, std = about["mean"].toArray(), about["std"].toArray()
-    alike = np.nan_to_num(Correlation.corr(rows, "features").first()[0].toArray())
-    spread, turn = np.linalg.eigh(alike * std[:, None] * std)
+    mean, covariance = spread_of(rows, rows.select("features").first()["features"].size)
+    spread, turn = np.linalg.eigh(covariance)
     # by model: what a unit of the new coordinates is along each axis; the intercept's curvature is a quarter
     unit = np.stack([1 / np.sqrt(np.maximum(spread, 0) / 4 + m.penalty) for m in models], 1)
     label, without, n = np.array([m.label for m in models]), np.array([m.without for m in models]), np.array([m.n for m in models])
